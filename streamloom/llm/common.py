@@ -59,5 +59,5 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 def scan_parts(df: DataFrame, part_bytes: int, least: int = 1, most: int = 100_000) -> int:
     """A number of parts in proportion to the size that the optimizer sees."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, min(most, -(-size // part_bytes)))
