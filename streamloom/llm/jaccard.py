@@ -155,9 +155,8 @@ def _emit(parts: int, words: int, hot_share: float):
                 low = tokens & _LOW
                 order = np.lexsort((who, part)) if parts > 65535 else np.argsort(part.astype("u2"), kind="stable")
                 who, part, low = who[order], part[order], low[order]
-                edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
                 hot_least = max(64, int(hot_share * len(kept)))
-                for a, b in zip(edges, [*edges[1:], len(part)], strict=True):
+                for a, b in _segments(part):
                     p, w, t = int(part[a]), who[a:b], low[a:b]
                     if len(kept) > hot_least:
                         values, inverse, counts = np.unique(t, return_inverse=True, return_counts=True)
@@ -181,6 +180,14 @@ def _emit(parts: int, words: int, hot_share: float):
     return run
 
 
+def _segments(x: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of runs of equal values."""
+    if not len(x):
+        return []
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])).tolist()
+    return list(zip(at, [*at[1:], len(x)], strict=True))
+
+
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Values and lengths of runs; runs over 65535 are cut."""
     at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
@@ -237,8 +244,7 @@ def _shared(parts: int):
         to = (sid.astype(np.uint64) % np.uint64(parts)).astype(np.int32)
         order = np.argsort(to, kind="stable")
         token, sid, size, df, to = token[order], sid[order], size[order], df[order], to[order]
-        at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else []
-        rows = [(1, int(to[a]), pack(sid[a:b], size[a:b], token[a:b], df[a:b])) for a, b in zip(at, [*at[1:], len(to)], strict=True)]
+        rows = [(1, int(to[a]), pack(sid[a:b], size[a:b], token[a:b], df[a:b])) for a, b in _segments(to)]
         return pa.Table.from_batches([_rows(rows)])
 
     return run
@@ -264,8 +270,7 @@ def _gather(table):
         # A set that several map tasks hold has its hot shingles several times.
         again = np.concatenate([[False], (sid[1:] == sid[:-1]) & (token[1:] == token[:-1])])
         sid, n, token = sid[~again], n[~again], token[~again]
-        at = np.flatnonzero(np.concatenate([[True], sid[1:] != sid[:-1]]))
-        rows = [(int(sid[a]), int(n[a]), token[a:b].tobytes()) for a, b in zip(at, [*at[1:], len(sid)], strict=True) if b - a >= least_overlap(int(n[a]))]
+        rows = [(int(sid[a]), int(n[a]), token[a:b].tobytes()) for a, b in _segments(sid) if b - a >= least_overlap(int(n[a]))]
         if rows:
             s, m, t = zip(*rows, strict=True)
             docs.append(pa.RecordBatch.from_arrays([pa.array([False] * len(s)), pa.nulls(len(s), pa.int64()), pa.array(s, pa.int64()), pa.array(m, pa.int32()), pa.array(t, pa.binary())], schema=_BASE))
@@ -288,8 +293,7 @@ def _prefixes(parts: int):
                 key = ((t ^ t >> np.uint64(17)) % np.uint64(parts)).astype(np.int32)
                 order = np.argsort(key, kind="stable")
                 t, s, n, key = t[order], s[order], n[order], key[order]
-                at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                rows = [(0, int(key[a]), pack(t[a:b], s[a:b], n[a:b])) for a, b in zip(at, [*at[1:], len(t)], strict=True)]
+                rows = [(0, int(key[a]), pack(t[a:b], s[a:b], n[a:b])) for a, b in _segments(key)]
             yield _rows(rows)
 
     return run
@@ -394,8 +398,7 @@ def _resolve_groups(table):
     comp = table.column("comp").to_numpy()
     out_s, out_r = [], []
     order = np.argsort(comp, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], comp[order][1:] != comp[order][:-1]])) if len(comp) else []
-    for a, b in zip(at, [*at[1:], len(comp)], strict=True):
+    for a, b in _segments(comp[order]):
         who = order[a:b]
         roots = resolve(n[who], [np.frombuffer(data[i], "<u8") for i in who], None if known is None else known[who])
         out_s.append(sids[who])
