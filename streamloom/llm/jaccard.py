@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, scan_parts, utf8
+from .common import cut, fresh, scan_parts, utf8
 
 WORDS = 5
 #: Similarity threshold as a fraction (fixed value of the contract).
@@ -489,6 +489,6 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     firsts = cut(link_classes(docs, **options).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("k")))
     kept = docs.join(firsts.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     if not firsts.where("k > 1").isEmpty():
-        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        kept = kept.withColumn("_nth", nth).where("_nth = 1").select(docs.columns)
+        nth = fresh(docs, "nth")
+        kept = kept.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(nth) == 1).select(docs.columns)
     return docs.where("doc_id is null").unionByName(kept)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import cut, fresh, n_words
 
 #: Weights of the sources in code-point order, repeating (fixed values of the contract).
 WEIGHTS = (5, 2, 1)
@@ -104,9 +104,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows alike in doc_id, source and size share their copies evenly (rounded).
     """
+    doc, source, size, n = (fresh(docs, f"mix_{c}") for c in ("id", "source", "size", "n"))
     taken = mix(docs, whole=True, **options).where("taken > 0")
-    copies = taken.groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size")).agg(
-        F.round(F.sum("taken") / F.first("size") / F.count("*")).cast("int").alias("mix_n")
+    copies = taken.groupBy(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias(size)).agg(
+        F.round(F.sum("taken") / F.first("size") / F.count("*")).cast("int").alias(n)
     )
-    match = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (n_words(F.col("text")) == F.col("mix_size"))
-    return docs.join(copies.where("mix_n > 0"), match).withColumn("mix_n", F.explode(F.sequence(F.lit(1), F.col("mix_n")))).select(docs.columns)
+    match = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (n_words(F.col("text")) == F.col(size))
+    return docs.join(copies.where(F.col(n) > 0), match).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)
