@@ -313,13 +313,17 @@ def _neighbours(table):
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node that has an edge (a, b); label is one node of its component.
 
-    In each round every node is merged into its smallest neighbour, if that is smaller; few rounds remain even for long chains.
+    In each round every node is merged into its first neighbour in a random order of that round, if that comes before itself;
+    so even a long chain of ascending ids is a few rounds.
     """
     both = edges.where("a <> b").select("a", "b")
     e = cut(both.union(both.select("b", "a")).distinct())
-    labels = None
+    labels, turn = None, 0
     while not e.isEmpty():
-        least = cut(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")))
+        turn += 1
+        placed = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        first = e.groupBy("a").agg(F.min(placed("b")).alias("m"))
+        least = cut(first.select(F.col("a").alias("node"), F.least(placed("a"), "m")["v"].alias("to")))
         if labels is None:
             labels = least.select("node", F.col("to").alias("label"))
         else:
