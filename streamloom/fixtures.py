@@ -51,7 +51,8 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a frame with 6 overlapping boxes in an array; every 50th frame has none."""
-    e = events(spark, sf_dir).select("event_id", "stream_id")
+    # The table is one small file, so one task; suppression is work enough for all.
+    e = events(spark, sf_dir).select("event_id", "stream_id").repartition(spark.sparkContext.defaultParallelism, "event_id")
     box = "struct(cast((event_id * 37) % 300 + k * 13 as double) as x, cast((event_id * 91) % 300 + k * 9 as double) as y, cast(100 + (event_id + k * 7) % 160 as double) as w, cast(100 + (event_id * 3 + k) % 160 as double) as h, ((event_id * 13 + k * 17) % 1000) / 1000.0d as score, cast((event_id + k) % 2 as int) as cls)"
     return e.withColumn("dets", F.expr(f"transform(case when event_id % 50 = 0 then cast(array() as array<int>) else sequence(0, 5) end, k -> {box})"))
 

@@ -141,10 +141,16 @@ def tracked(detections: DataFrame, **options) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame_no", "det_idx"], kind="stable")
         tracker, rows = Tracker(**options), []
-        for frame_no, g in pdf.groupby("frame_no", sort=True):
-            boxes = list(zip(g["x"].astype(float), g["y"].astype(float), g["w"].astype(float), g["h"].astype(float), strict=True))
-            for (t, hits, ok), s, k in zip(tracker.frame(boxes, int(g["pts_us"].iloc[0])), g["stream_id"], g["det_idx"], strict=True):
-                rows.append((s, frame_no, k, t, hits, ok))
+        boxes = list(zip(*(pdf[c].astype(float).tolist() for c in "xywh"), strict=True))
+        streams, numbers, pts, places = (pdf[c].tolist() for c in ("stream_id", "frame_no", "pts_us", "det_idx"))
+        a = 0
+        while a < len(boxes):
+            b = a + 1
+            while b < len(boxes) and numbers[b] == numbers[a]:
+                b += 1
+            found = tracker.frame(boxes[a:b], pts[a])
+            rows += [(streams[i], numbers[i], places[i], *f) for i, f in zip(range(a, b), found, strict=True)]
+            a = b
         return pd.DataFrame(rows, columns=["stream_id", "frame_no", "det_idx", "track_id", "hits", "confirmed"])
 
     return detections.groupBy("stream_id").applyInPandas(run, TRACKED)

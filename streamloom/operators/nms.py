@@ -16,13 +16,14 @@ def suppress(dets: Column, threshold: float = 0.45, cap: int = CAP) -> Column:
 
     At most cap candidates are taken, by their place in dets.
     """
-    ordered = in_order(F.slice(dets, 1, cap))
 
     def step(kept: Column, d: Column) -> Column:
         clash = F.exists(kept, lambda k: (k["cls"] == d["cls"]) & (iou(k, d) > threshold))
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(d)))
 
-    return F.when(F.size(dets) == 0, dets).otherwise(F.aggregate(F.slice(ordered, 2, cap), F.slice(ordered, 1, 1), step))
+    # A lambda over an array of one element binds a value, which is then evaluated once.
+    ordered = F.array(in_order(F.slice(dets, 1, cap)))
+    return F.transform(ordered, lambda o: F.aggregate(F.slice(o, 2, cap), F.slice(o, 1, 1), step))[0]
 
 
 def merge_tiles(full: Column, tiles: Column, merge_iou: float = 0.5, cap: int = CAP) -> Column:

@@ -412,7 +412,7 @@ def nearest_event(spark, sf):
 @query()
 def tracker(spark, sf):
     """Sequential per stream; tests hold it against a mirror."""
-    return consumers.tracked(X.detections(spark, sf).select("stream_id", "frame_no", "pts_us", "det_idx", "x", "y", "w", "h"), max_age_us=3_600_000_000)
+    return consumers.tracked(X.detections(spark, sf).select("stream_id", "frame_no", "pts_us", "det_idx", "x", "y", "w", "h"), max_age_us=600_000_000)
 
 
 # ---- retention and relay (W-08..W-10 W-12 K-06..K-08 T-05 J-12) -------------------------------------------------------
