@@ -16,8 +16,13 @@ def top_values(rows: DataFrame, column: str, k: int, arrival: str) -> DataFrame:
 def zone_hits(detections: DataFrame, zones: DataFrame) -> DataFrame:
     """Detections in the zones of their stream, by the box's centre. zones (stream_id, zone, polygon) is a declared list and broadcast."""
     cx, cy = F.col("x") + F.col("w") / 2.0, F.col("y") + F.col("h") / 2.0
-    z = zones.select(F.col("stream_id").alias("_s"), "zone", "polygon")
-    return detections.join(F.broadcast(z), F.col("stream_id") == F.col("_s")).where(in_polygon(cx, cy, F.col("polygon"))).drop("_s", "polygon")
+    side = lambda pick, c: pick(F.transform("polygon", lambda p: p[c]))
+    bounds = [side(f, c).alias(n) for n, f, c in (("_x0", F.array_min, "x"), ("_x1", F.array_max, "x"), ("_y0", F.array_min, "y"), ("_y1", F.array_max, "y"))]
+    z = zones.select(F.col("stream_id").alias("_s"), "zone", "polygon", *bounds)
+    # The bounding box first: it is cheap and most pairs end there.
+    near = cx.between(F.col("_x0"), F.col("_x1")) & cy.between(F.col("_y0"), F.col("_y1"))
+    j = detections.join(F.broadcast(z), F.col("stream_id") == F.col("_s")).where(near & in_polygon(cx, cy, F.col("polygon")))
+    return j.drop("_s", "polygon", "_x0", "_x1", "_y0", "_y1")
 
 
 def zone_events(frames: DataFrame, hits: DataFrame, zones: DataFrame) -> DataFrame:
