@@ -37,7 +37,7 @@ THRESHOLD = 0.7
 ROWS, PREFIX_ROWS, DIM = 1 << 18, 1 << 14, 12
 FILTERS = ((1, 10), (2, 4), (3, 4))
 PREFIX = 4
-EPOCHS, BATCH, RATE = 8, 64, 0.15
+EPOCHS, STEPS, BATCH, RATE = 8, 750, 64, 0.15
 WORDS_AT_ONCE = 1_500_000
 #: Frequent words of four languages (fixed values), to tell the language of a text.
 FREQUENT = {
@@ -163,8 +163,9 @@ def train(keys: np.ndarray, ids: np.ndarray, ends: np.ndarray, y: np.ndarray, se
         squares[name] += grad * grad
         return value - RATE * grad / np.sqrt(squares[name])
 
-    for _ in range(EPOCHS):
-        for chosen in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
+    rounds = max(1, len(y) // BATCH)
+    for _ in range(max(EPOCHS, min(40, -(-STEPS // rounds)))):  # small samples are gone through more often
+        for chosen in np.array_split(rng.permutation(len(y)), rounds):
             spans = [ids[begins[d] : ends[d]] for d in chosen]
             flat = np.concatenate(spans)
             if not len(flat):
