@@ -44,7 +44,7 @@ PART_BYTES = 8 << 20
 GROUP_SETS = 50_000
 GROUP_BYTES = 64 << 20
 HOT = 1 << 31
-MEMO = 1_000_000
+MEMO = 250_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 48) - 1)
 
@@ -176,6 +176,7 @@ def _emit(parts: int, words: int, hot_share: float):
                         own, n = _runs(w)
                         rows.append((0, p, pack(sids[own], sizes[own], n.astype("<u2"), (t & np.uint64(0xFFFFFFFF)).astype("<u4"), (t >> np.uint64(32)).astype("<u2"))))
             yield _rows(rows)
+        _hashes.clear()  # the worker goes on to other stages
 
     return run
 

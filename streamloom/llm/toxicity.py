@@ -38,7 +38,7 @@ ROWS, PREFIX_ROWS, DIM = 1 << 18, 1 << 14, 12
 FILTERS = ((1, 10), (2, 4), (3, 4))
 PREFIX = 4
 EPOCHS, STEPS, BATCH, RATE = 8, 750, 64, 0.15
-WORDS_AT_ONCE = 1_500_000
+WORDS_AT_ONCE = 500_000
 #: Frequent words of four languages (fixed values), to tell the language of a text.
 FREQUENT = {
     "en": "the of and to in that is was for it with as be on by this are from",
