@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import utf8
 from .quality_model import fold, sampled_labels
 
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 6_000
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 ROWS, PREFIX_ROWS, DIM = 1 << 18, 1 << 14, 12
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", seed: int = 1
 
     def run(batches):
         for b in batches:
-            keys, words = [], []
+            keys = []
             for t in utf8(b.column("text")):
                 k, i, _ = numbered([t])
                 keys.append(k[i].astype("<u4").tobytes())
@@ -251,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", seed: int = 1
     flat = np.frombuffer(b"".join(r.k for r in got), "<u4").reshape(-1, 2)
     ends = np.cumsum([len(r.k) // 8 for r in got])
     doc = np.asarray([r.doc_id for r in got])
-    del got
+    del got  # before the sort below takes its own copies
     packed = flat[:, 0].astype(np.uint64) << np.uint64(32) | flat[:, 1]
     distinct, ids = np.unique(packed, return_inverse=True)
     del packed, flat
