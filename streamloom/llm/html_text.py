@@ -1,19 +1,21 @@
 """Main text of web pages by wrapper induction.
 
-1. From each host a few pages are taken (those of least hash in each of SAMPLE slots), parsed to DOM trees and aligned by
-   simple tree matching. A template node keeps in how many pages it was met and whether its text was the same in all:
-   constant nodes are the host's template, varying ones are slots.
-2. A template's slots are typed once: a slot inside a container of the article kind is content; a slot in a menu, header,
-   footer, form, notice, advert or comment region (told by element, role, id and class) is not; without an article
-   container, what varies and is not mostly links is content.
-3. Each page is aligned with its host's template (alignments are memoised by page skeleton) and the text of its content
-   slots is put out. Nodes that match no template node are typed by the same rules on their own.
-
-Inside an article container nothing is dropped for being constant, so copies of one article on a host do no harm.
-
-Scale: the pages picked from a host are bounded, so no host makes a large group, however many pages it has; pages do not
-move. Templates (about 1 KB a host) go to the pages by a broadcast join if their measured size is under
-BROADCAST_BYTES, else by a shuffled join whose hosts are salted by their share of pages.
+1. Every page of a host is parsed to a DOM tree and folded: alike siblings are one slot, so a slot is a path of elements
+   and kinds, and aligning two folded trees by tree matching pairs the slots of equal path (`merge` is the pairwise
+   form on trees that are not folded). A page is a set of (slot, text); one of more than MAX_NODES blocks is left out.
+2. A host's template is counted from all its pages: in how many pages a slot is met, and which texts are in at least
+   CONSTANT_SHARE of them. Those texts are constant, the rest of the slot varies. The same is counted for each layout (the
+   paths of a page's upper LAYOUT_LEVELS levels), so a notice of one of many layouts is constant too.
+3. Regions of menus, headers, footers, forms, notices, adverts and comments (told by element, role, id and class) are never
+   content. Constant texts are not content. Varying text is content inside an article container; outside one it is
+   if it is not mostly links and, where the page has a container, the slot was seen to vary between pages.
+
+Copies of an article are told by page: pages of one main text count as one, and where most of an article's text is constant
+that page is a copy of others, and its text stays. In containers a text needs LEAST_INSIDE pages to be constant.
+
+Scale: texts are counted by host, slot and text, never by host alone, so no host makes a large group; pages do not move.
+Templates go to the pages by a broadcast join if their measured size is under BROADCAST_BYTES, else by a shuffled
+join whose hosts are salted by their share of pages.
 
 Defined results: null or empty html, and pages without content, give ''. A null or broken url counts as host ''.
 Unclosed and crossed tags are repaired as browsers do for p, li and table cells. Repeated rows repeat; extra columns are
@@ -22,6 +24,7 @@ not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import json
 import re
@@ -33,8 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SAMPLE = 8
 BROADCAST_BYTES = 8 << 20
+#: Texts in this share of a slot's pages are constant, if there are so many different pages: outside and inside articles, and of one layout.
+CONSTANT_SHARE = 0.8
+LEAST_PAGES, LEAST_INSIDE, LEAST_LAYOUT = 2, 3, 4
+LAYOUT_LEVELS = 3
+#: Pages of more blocks are not aligned.
 MAX_NODES = 1500
 DEPTH = 60
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -222,10 +229,6 @@ def _match_size(a: list, b: list, memo: dict) -> int:
     return memo[key]
 
 
-def _count(t: list) -> int:
-    return 1 + sum(map(_count, t[4]))
-
-
 def merge(template: list, page: list) -> list:
     """The template with one more page: matched nodes count it, others are added in their places; repeated siblings fold."""
     memo: dict = {}
@@ -249,182 +252,181 @@ def merge(template: list, page: list) -> list:
     return both(template, page)
 
 
-def induce(pages: list[str]) -> list | None:
-    """The template of a host from some of its pages."""
-    template = None
-    for html in pages:
-        tree = to_template(parse(html))
-        if _count(tree) > MAX_NODES:
-            continue
-        template = tree if template is None else merge(template, tree)
-        if template is not None and _count(template) > MAX_NODES:
-            break
-    return template
+# ---- pages as runs of text in slots --------------------------------------------------------------------------------
 
+_keys: dict[tuple, int] = {}
 
-# ---- extraction -----------------------------------------------------------------------------------------------------
 
+def digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
-def _skeleton(node: Node) -> str:
-    return f"{node.tag}{node.kind}({','.join(map(_skeleton, elements(node)))})"
 
-
-def _page_article(node: Node) -> bool:
-    return node.kind > 0 or any(map(_page_article, elements(node)))
+def path_key(parent: int, tag: str, kind: int) -> int:
+    """The slot of a block element: its path of tags and kinds. Alike siblings share it, so trees are folded."""
+    key = _keys.get((parent, tag, kind))
+    if key is None:
+        if len(_keys) > 100_000:
+            _keys.clear()
+        key = _keys[parent, tag, kind] = digest(f"{parent} {tag} {kind}".encode())
+    return key
 
 
-def link_share(node: Node) -> float:
-    """Share of a node's text that is in links."""
-    inside = total = 0
+class Run:
+    """A text between block tags, with its slots (by path; by layout and path), and if it is inside an article container."""
 
-    def walk(n: Node, linked: bool) -> None:
-        nonlocal inside, total
-        for c in n.children:
-            if c.tag == "#":
-                k = len(c.text.strip())
-                total += k
-                inside += k * linked
-            else:
-                walk(c, linked or c.tag == "a")
+    __slots__ = ("text", "code", "slot", "in_layout", "inside", "block")
 
-    walk(node, False)
-    return inside / total if total else 0.0
+    def __init__(self, text: str, slot: int, inside: bool, block: int):
+        self.text, self.code, self.slot, self.inside, self.block = text, digest(text.encode("utf-8", "replace")), slot, inside, block
 
 
-def roles(node: Node, template: list | None) -> list[int]:
-    """For the block nodes of a page in document order: 1 content, 0 not, 2 for what a look at the links decides.
+def runs(root: Node) -> tuple[list[Run], list[float]]:
+    """The texts of a page outside the regions that are not content, in page order, and per block the share of its text in links."""
+    found: list[Run] = []
+    above, total, linked, paths = [-1], [0], [0], {0}
+    run: list[str] = []
+    # Entries: node, its next child, block, slot, level, inside an article container, skipped, in a link.
+    key = path_key(0, root.tag, root.kind)
+    stack = [[root, 0, 0, key, 0, root.kind > 0, root.kind < 0, False]]
 
-    A node has the role of the template slot that it is aligned with; if the page has an article container,
-    slots in it are content and all others are not.
-    """
-    article = _page_article(node)
-    out: list[int] = []
-    memo: dict = {}
+    def flush(block: int, slot: int, inside: bool) -> None:
+        if run:
+            text = clean("".join(run))
+            run.clear()
+            if text:
+                found.append(Run(text, slot, inside, block))
 
-    def walk(n: Node, shape: list, t: list | None, inside: bool) -> None:
-        if n.kind < 0:
-            skip(n)
-            return
-        inside = inside or n.kind > 0
-        if article:
-            role = int(inside)
-        elif t is not None and t[2] > 1 and t[3] is not None and not t[4]:
-            role = 0  # the same in all pages: template
+    while stack:
+        top = stack[-1]
+        node, at, block, slot, level, inside, skipped, in_link = top
+        if at == len(node.children):
+            stack.pop()
+            if node.tag not in INLINE:
+                flush(block, slot, inside)
+            continue
+        top[1] += 1
+        c = node.children[at]
+        if c.tag == "#":
+            k = len(c.text.strip())
+            total[block] += k
+            linked[block] += k * in_link
+            if not skipped:
+                run.append(c.text)
+        elif c.tag in VOID:
+            if not skipped:
+                run.append(" ")
+        elif c.tag in INLINE:
+            stack.append([c, 0, block, slot, level, inside, skipped or c.kind < 0, in_link or c.tag == "a"])
         else:
-            role = 2
-        out.append(role)
-        children = elements(n)
-        partner: dict[int, list] = {}
-        if t is not None:
-            for i, j in align(shape[4], t[4], _alike, lambda x, y: _match_size(x, y, memo)):
-                partner[i] = t[4][j]
-        before = None
-        for i, c in enumerate(children):
-            own = partner.get(i)
-            if own is None and before is not None and _alike(shape[4][i], before):
-                own = [*before[:3], None, before[4]]
-            before = own
-            walk(c, shape[4][i], own, inside)
-
-    def skip(n: Node) -> None:
-        out.append(0)
-        for c in elements(n):
-            skip(c)
-
-    def shape_of(n: Node) -> list:
-        return [n.tag, n.kind, 1, None, [shape_of(c) for c in elements(n)]]
-
-    walk(node, shape_of(node), template, False)
-    return out
+            flush(block, slot, inside)
+            above.append(block)
+            total.append(0)
+            linked.append(0)
+            below = path_key(slot, c.tag, c.kind)
+            if level < LAYOUT_LEVELS:
+                paths.add(below)
+            stack.append([c, 0, len(above) - 1, below, level + 1, inside or c.kind > 0, skipped or c.kind < 0, in_link])
+    for i in range(len(above) - 1, 0, -1):
+        total[above[i]] += total[i]
+        linked[above[i]] += linked[i]
+    layout = digest(repr(sorted(paths)).encode())
+    for r in found:
+        r.in_layout = layout ^ r.slot
+    return found, [b / a if a else 0.0 for a, b in zip(total, linked, strict=True)]
+
+
+def statistics(html: str) -> tuple[int, set[tuple[int, int]]]:
+    """(page, {(slot, text)}) of a page. Pages of one main text have one number: they are copies of one page."""
+    found, shares = runs(parse(html))
+    if len(shares) > MAX_NODES:
+        return 0, set()
+    main = [r.code for r in found if r.inside] or [r.code for r in found]
+    return digest(repr(main).encode()), {(s, r.code) for r in found for s in (r.slot, r.in_layout)}
+
+
+def _page_article(node: Node) -> bool:
+    return node.kind > 0 or any(map(_page_article, elements(node)))
+
+
+class Template:
+    """A host's slots: in how many of its pages each is, and which texts are in nearly all of those."""
+
+    def __init__(self, source: str | None):
+        read = json.loads(source) if source else {}
+        self.pages = {s["slot"]: s["pages"] for s in read.get("slots", ())}
+        self.constant = {(s["slot"], t) for s in read.get("slots", ()) for t in s["texts"]}
+
+    def is_constant(self, r: Run) -> bool:
+        least = LEAST_INSIDE if r.inside else LEAST_PAGES
+        return (r.slot, r.code) in self.constant and self.pages[r.slot] >= least or (r.in_layout, r.code) in self.constant and self.pages[r.in_layout] >= LEAST_LAYOUT
+
+    def varies(self, r: Run) -> bool:
+        return self.pages.get(r.slot, 0) >= LEAST_PAGES and not self.is_constant(r)
 
 
 class Extractor:
-    """Texts of pages, with memos by template and skeleton."""
+    """Texts of pages, with a memo of templates."""
 
     def __init__(self):
-        self.templates: dict[str, list | None] = {}
-        self.memo: dict[tuple[str, str], list[int]] = {}
+        self.templates: dict[str, Template] = {}
 
     def text(self, html: str | None, template: str | None) -> str:
         if not html:
             return ""
-        tree = parse(html)
         key = template or ""
-        if key not in self.templates:
+        t = self.templates.get(key)
+        if t is None:
             if len(self.templates) > 2000:
                 self.templates.clear()
-                self.memo.clear()
-            self.templates[key] = json.loads(key) if key else None
-        skeleton = _skeleton(tree)
-        known = self.memo.get((key, skeleton))
-        if known is None:
-            if len(self.memo) > 50_000:
-                self.memo.clear()
-            big = skeleton.count("(") > MAX_NODES
-            known = self.memo[key, skeleton] = roles(tree, None if big else self.templates[key])
-        found: list[str] = []
-        role_of = iter(known)
-
-        def block(node: Node) -> None:
-            role = next(role_of)
-            wanted = role == 1 or role == 2 and link_share(node) < 0.5
-            run: list[str] = []
-
-            def flush() -> None:
-                text = clean("".join(run)) if wanted else ""
-                if text:
-                    found.append(text)
-                run.clear()
-
-            def walk(n: Node) -> None:
-                for c in n.children:
-                    if c.tag == "#":
-                        run.append(c.text)
-                    elif c.tag in VOID:
-                        run.append(" ")
-                    elif c.tag in INLINE:
-                        if c.kind >= 0:
-                            walk(c)
-                    else:
-                        flush()
-                        block(c)
-
-            walk(node)
-            flush()
-
-        block(tree)
-        return " ".join(found)
+            t = self.templates[key] = Template(key)
+        tree = parse(html)
+        found, link_share = runs(tree)
+        if len(link_share) > MAX_NODES:
+            t = Template(None)
+        article = _page_article(tree)
+        inside = [r for r in found if r.inside]
+        kept = [r for r in inside if not t.is_constant(r)]
+        # Mostly what other pages have too: a copy of an article, whose text is not the host's.
+        copied = 2 * sum(len(r.text) for r in kept) < sum(len(r.text) for r in inside)
+        out = []
+        for r in found:
+            if r.inside:
+                wanted = copied or not t.is_constant(r)
+            else:
+                wanted = (t.varies(r) if article else not t.is_constant(r)) and link_share[r.block] < 0.5
+            if wanted:
+                out.append(r.text)
+        return " ".join(out)
 
 
 def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(host, template): for each host a JSON template, from the pages of least hash in each of `sample` slots."""
-    keyed = pages.where("html is not null").select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("h"), "html")
-    slots = F.pmod(F.col("h"), F.lit(sample))
-    least = cut(keyed.groupBy("host", slots.alias("slot")).agg(F.min("h").alias("h")))
-    n = least.count()
-    picks = least.select("host", "h")
-    picked = keyed.join(F.broadcast(picks) if n * 64 <= BROADCAST_BYTES else picks, ["host", "h"], "left_semi")
-
-    def run(key, table):
-        rows = sorted(zip(table.column("h").to_pylist(), table.column("html").to_pylist(), strict=True))
-        seen, pages_ = set(), []
-        for h, text in rows:
-            if h not in seen:  # repeated rows
-                seen.add(h)
-                pages_.append(text)
-        found = induce(pages_)
-        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "template": pa.array([json.dumps(found, separators=(",", ":")) if found else ""], pa.string())})
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, template): for each host a JSON template, from all its pages."""
 
-    return picked.groupBy("host").applyInArrow(run, "host string, template string")
-
-
-def extract(pages: DataFrame, sample: int = SAMPLE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            rows = []
+            for h, text in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+                page, seen = statistics(text)
+                rows += [(h, page, s, t) for s, t in seen]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "page", "slot", "text"])
+
+    keyed = pages.where("html is not null").select(host(F.col("url")).alias("host"), "html")
+    seen = cut(keyed.mapInArrow(run, "host string, page long, slot long, text long").distinct())
+    in_slot = seen.select("host", "slot", "page").distinct().groupBy("host", "slot").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    of_text = seen.groupBy("host", "slot", "text").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    typed = in_slot.join(of_text, ["host", "slot"], "left").groupBy("host", "slot", "pages").agg(
+        F.collect_list(F.when(F.col("n") >= CONSTANT_SHARE * F.col("pages"), F.col("text"))).alias("texts")
+    )
+    return typed.groupBy("host").agg(F.to_json(F.struct(F.collect_list(F.struct("slot", "pages", "texts")).alias("slots"))).alias("template"))
+
+
+def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text, n_chars."""
-    found = cut(templates(pages, sample))
+    found = cut(templates(pages))
     size = found.agg(F.sum(F.length("template") + F.length("host") + 32)).first()[0] or 0
     keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     if size <= broadcast_bytes:

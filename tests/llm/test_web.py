@@ -76,3 +76,33 @@ def test_warc_files(spark, tmp_path):
     got = warc.derivatives(warc.read_warc(spark, str(tmp_path)), keep="path").collect()
     assert sorted((r.path[-6:], r.kind) for r in got) == sorted([("a.warc", "metadata"), ("a.warc", "conversion")] * 2 + [("arc.gz", "metadata"), ("arc.gz", "conversion"), ("e.warc", "metadata"), ("e.warc", "conversion")])
     assert {r.digest_ok for r in got if r.path.endswith("e.warc")} == {False}
+
+
+def texts(spark, html, url="http://one.example/x"):
+    return [r.text for r in sorted(html_text.extract(pages(spark, [(i, url, h) for i, h in enumerate(html)])).collect(), key=lambda r: r.page_id)]
+
+
+def test_template_decides_in_and_outside_articles(spark):
+    page = '<article><h1>Title {0}</h1><p>Story number {0} is long enough to count.</p><div class="box">Write to our desk</div></article><div>Also {0}</div><div>Site name</div>'
+    assert texts(spark, [page.format(i) for i in range(5)]) == [f"Title {i} Story number {i} is long enough to count. Also {i}" for i in range(5)]
+    # Four copies of one article, and four with other text around it: nothing of it is the host's.
+    one = "<article><h1>Same</h1><p>A long story that is on many pages.</p></article><div>{}</div>"
+    assert all("Same A long story that is on many pages." in t for t in texts(spark, [one.format(i) for i in range(4)]))
+    mixed = texts(spark, [page.format(i) for i in range(5)] + [page.format(7)] * 3)
+    assert mixed[5:] == ["Title 7 Story number 7 is long enough to count. Also 7"] * 3
+
+
+def test_folded_matching_is_by_path():
+    a, b = (html_text.parse(x) for x in ("<div><h2>1</h2><p>x</p></div><ul><li>1</ul>", "<div><h2>1</h2><p>y</p></div><table><tr><td>z</table>"))
+    t = html_text.merge(html_text.to_template(a), html_text.to_template(b))
+    matched = {}
+
+    def walk(n, key):
+        key = html_text.path_key(key, n[0], n[1])
+        matched[key] = n[2]
+        for c in n[4]:
+            walk(c, key)
+
+    walk(t, 0)
+    slots = [{r.slot for r in html_text.runs(x)[0]} for x in (a, b)]
+    assert slots[0] | slots[1] <= set(matched) and all(matched[k] == sum(k in s for s in slots) for k in slots[0] | slots[1])
