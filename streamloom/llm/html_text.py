@@ -8,7 +8,7 @@
    paths of a page's upper LAYOUT_LEVELS levels), so a notice of one of many layouts is constant too.
 3. Regions of menus, headers, footers, forms, notices, adverts and comments (told by element, role, id and class) are never
    content. Constant texts are not content. Varying text is content inside an article container; outside one it is
-   if it is not mostly links and, where the page has a container, the slot was seen to vary between pages.
+   if it is not mostly links and, where the page has a container with text, the slot was seen to vary between pages.
 
 Copies of an article are told by page: pages of one main text count as one, and where most of an article's text is constant
 that page is a copy of others, and its text stays. In containers a text needs LEAST_INSIDE pages to be constant.
@@ -41,9 +41,9 @@ BROADCAST_BYTES = 8 << 20
 CONSTANT_SHARE = 0.8
 LEAST_PAGES, LEAST_INSIDE, LEAST_LAYOUT = 2, 3, 4
 LAYOUT_LEVELS = 3
+DEPTH = 60
 #: Pages of more blocks are not aligned.
 MAX_NODES = 1500
-DEPTH = 60
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe object svg math select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -344,10 +344,6 @@ def statistics(html: str) -> tuple[int, set[tuple[int, int]]]:
     return digest(repr(main).encode()), {(s, r.code) for r in found for s in (r.slot, r.in_layout)}
 
 
-def _page_article(node: Node) -> bool:
-    return node.kind > 0 or any(map(_page_article, elements(node)))
-
-
 class Template:
     """A host's slots: in how many of its pages each is, and which texts are in nearly all of those."""
 
@@ -379,11 +375,9 @@ class Extractor:
             if len(self.templates) > 2000:
                 self.templates.clear()
             t = self.templates[key] = Template(key)
-        tree = parse(html)
-        found, link_share = runs(tree)
+        found, link_share = runs(parse(html))
         if len(link_share) > MAX_NODES:
             t = Template(None)
-        article = _page_article(tree)
         inside = [r for r in found if r.inside]
         kept = [r for r in inside if not t.is_constant(r)]
         # Mostly what other pages have too: a copy of an article, whose text is not the host's.
@@ -393,7 +387,7 @@ class Extractor:
             if r.inside:
                 wanted = copied or not t.is_constant(r)
             else:
-                wanted = (t.varies(r) if article else not t.is_constant(r)) and link_share[r.block] < 0.5
+                wanted = (t.varies(r) if inside else not t.is_constant(r)) and link_share[r.block] < 0.5
             if wanted:
                 out.append(r.text)
         return " ".join(out)

@@ -92,6 +92,12 @@ def test_template_decides_in_and_outside_articles(spark):
     assert mixed[5:] == ["Title 7 Story number 7 is long enough to count. Also 7"] * 3
 
 
+def test_article_in_a_skipped_region(spark):
+    rows = ["<div>Main text of the page</div><aside><article class=teaser>More</article></aside>", "<div>Main</div><section class=comments><article class=comment>nice</article></section>", "<article> </article><div>Outside</div>"]
+    for k, (html, want) in enumerate(zip(rows, ["Main text of the page", "Main", "Outside"], strict=True)):
+        assert texts(spark, [html], f"http://h{k}.example/") == [want]
+
+
 def test_folded_matching_is_by_path():
     a, b = (html_text.parse(x) for x in ("<div><h2>1</h2><p>x</p></div><ul><li>1</ul>", "<div><h2>1</h2><p>y</p></div><table><tr><td>z</table>"))
     t = html_text.merge(html_text.to_template(a), html_text.to_template(b))
