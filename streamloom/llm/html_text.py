@@ -29,6 +29,7 @@ import html as _html
 import json
 import re
 import zlib
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +42,6 @@ BROADCAST_BYTES = 8 << 20
 CONSTANT_SHARE = 0.8
 LEAST_PAGES, LEAST_INSIDE, LEAST_LAYOUT = 2, 3, 4
 LAYOUT_LEVELS = 3
-DEPTH = 60
 #: Pages of more blocks are not aligned.
 MAX_NODES = 1500
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -98,6 +98,12 @@ def parse(html: str) -> Node:
     """A tree of elements and texts. Contents of RAW elements are left out."""
     root = Node("root")
     stack = [root]
+    opened: Counter = Counter()
+
+    def close(i: int) -> None:
+        opened.subtract(x.tag for x in stack[i:])
+        del stack[i:]
+
     at, end = 0, len(html)
     while at < end:
         m = _TOKEN.search(html, at)
@@ -112,40 +118,37 @@ def parse(html: str) -> Node:
             continue
         tag = name.lower()
         if m.group(1):
-            if any(x.tag == tag for x in stack):
-                if tag in INLINE or not any(x.tag == tag for x in stack[-40:]):
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i].tag == tag:
-                            del stack[i:]
-                            break
-                        if stack[i].tag not in INLINE and tag in INLINE:
-                            break
-                else:
-                    while stack.pop().tag != tag:
-                        pass
+            if opened[tag]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        close(i)
+                        break
+                    if stack[i].tag not in INLINE and tag in INLINE:
+                        break
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = close.end() if close else end
+            over = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            at = over.end() if over else end
             continue
         if tag in BLOCKS_END_P:  # an open p ends, with the inline elements in it
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened["p"] else ():
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag not in INLINE:
                     break
-        elif tag in ENDS:
+        elif tag in ENDS and any(opened[x] for x in ENDS[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in ENDS[tag]:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in ("ul", "ol", "dl", "table"):
                     break
         node = Node(tag, kind_of(tag, m.group(3)))
         stack[-1].children.append(node)
-        if tag not in VOID and not m.group(3).endswith("/") and len(stack) < DEPTH:
+        if tag not in VOID and not m.group(3).endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     return root
 
 

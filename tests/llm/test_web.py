@@ -98,6 +98,12 @@ def test_article_in_a_skipped_region(spark):
         assert texts(spark, [html], f"http://h{k}.example/") == [want]
 
 
+def test_deep_pages_with_end_tags(spark):
+    deep = "<body><div><article><p>First</p>" + "<div>" * 70 + "Deep<div class=ad>Buy</div><nav>Menu</nav>" + "</div>" * 70 + "<p>Last</p></article></div></body>"
+    very = "<article>" + "<div>" * 5000 + "x" + "</div>" * 5000 + "<p>y</p></article>"
+    assert texts(spark, [deep], "http://a.example/") == ["First Deep Last"] and texts(spark, [very], "http://b.example/") == ["x y"]
+
+
 def test_folded_matching_is_by_path():
     a, b = (html_text.parse(x) for x in ("<div><h2>1</h2><p>x</p></div><ul><li>1</ul>", "<div><h2>1</h2><p>y</p></div><table><tr><td>z</table>"))
     t = html_text.merge(html_text.to_template(a), html_text.to_template(b))
