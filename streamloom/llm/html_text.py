@@ -2,7 +2,7 @@
 
 1. Every page of a host is parsed to a DOM tree and folded: alike siblings are one slot, so a slot is a path of elements
    and kinds, and aligning two folded trees by tree matching pairs the slots of equal path (`merge` is the pairwise
-   form on trees that are not folded). A page is a set of (slot, text); one of more than MAX_NODES blocks is left out.
+   form on trees that are not folded). A page is a set of (slot, text), whatever its size.
 2. A host's template is counted from all its pages: in how many pages a slot is met, and which texts are in at least
    CONSTANT_SHARE of them. Those texts are constant, the rest of the slot varies. The same is counted for each layout (the
    paths of a page's upper LAYOUT_LEVELS levels), so a notice of one of many layouts is constant too.
@@ -42,8 +42,6 @@ BROADCAST_BYTES = 8 << 20
 CONSTANT_SHARE = 0.8
 LEAST_PAGES, LEAST_INSIDE, LEAST_LAYOUT = 2, 3, 4
 LAYOUT_LEVELS = 3
-#: Pages of more blocks are not aligned.
-MAX_NODES = 1500
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe object svg math select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -340,9 +338,7 @@ def runs(root: Node) -> tuple[list[Run], list[float]]:
 
 def statistics(html: str) -> tuple[int, set[tuple[int, int]]]:
     """(page, {(slot, text)}) of a page. Pages of one main text have one number: they are copies of one page."""
-    found, shares = runs(parse(html))
-    if len(shares) > MAX_NODES:
-        return 0, set()
+    found, _ = runs(parse(html))
     main = [r.code for r in found if r.inside] or [r.code for r in found]
     return digest(repr(main).encode()), {(s, r.code) for r in found for s in (r.slot, r.in_layout)}
 
@@ -379,8 +375,6 @@ class Extractor:
                 self.templates.clear()
             t = self.templates[key] = Template(key)
         found, link_share = runs(parse(html))
-        if len(link_share) > MAX_NODES:
-            t = Template(None)
         inside = [r for r in found if r.inside]
         kept = [r for r in inside if not t.is_constant(r)]
         # Mostly what other pages have too: a copy of an article, whose text is not the host's.

@@ -104,6 +104,17 @@ def test_deep_pages_with_end_tags(spark):
     assert texts(spark, [deep], "http://a.example/") == ["First Deep Last"] and texts(spark, [very], "http://b.example/") == ["x y"]
 
 
+def test_long_pages_and_many_layouts(spark):
+    head = "<div id=top>Site name</div>"
+    long = [head + f"<div>Text {i}</div>" + "".join(f"<p>Line {i} {j}</p>" for j in range(2000)) for i in range(3)]
+    got = texts(spark, long)
+    assert all(t.startswith(f"Text {i} Line {i} 0") for i, t in enumerate(got))
+    # Twelve layouts, each of six pages and with a notice of its own.
+    tags = "section div center figure fieldset address blockquote pre main2 x-a x-b x-c".split()
+    html = [f"<html><body><{t}><h2>Head {t} {i}</h2></{t}><p>Notice of {t}</p></body></html>" for t in tags for i in range(6)]
+    assert texts(spark, html, "http://many.example/") == [f"Head {t} {i}" for t in tags for i in range(6)]
+
+
 def test_folded_matching_is_by_path():
     a, b = (html_text.parse(x) for x in ("<div><h2>1</h2><p>x</p></div><ul><li>1</ul>", "<div><h2>1</h2><p>y</p></div><table><tr><td>z</table>"))
     t = html_text.merge(html_text.to_template(a), html_text.to_template(b))
