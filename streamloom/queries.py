@@ -392,6 +392,14 @@ def ema_gpu_ms(spark, sf):
     return g.select("stream_id", F.round(consumers.ema(F.transform("a", lambda s: s["v"])), 6).alias("ema"))
 
 
+@query()
+def ema_gpu_ms_whole(spark, sf):
+    """ema_gpu_ms of whole streams, too long for recursive SQL; tests hold it against a mirror."""
+    v = X.results(spark, sf).withColumn("v", F.col("ms_take_to_done") / F.greatest("batch_size", F.lit(1)))
+    g = v.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("frame_no", "v"))).alias("a"))
+    return g.select("stream_id", F.round(consumers.ema(F.transform("a", lambda s: s["v"])), 6).alias("ema"))
+
+
 @query(f"""WITH {PK}, s AS (SELECT stream_id AS key, seq // 500 AS generation, pts_us / 1e6 AS t, seq * 3 AS value FROM packets)
 SELECT key, generation, round(t, 6) AS t, round((value - lag(value) OVER w) / greatest(t - lag(t) OVER w, 0.001), 6) AS rate FROM s WINDOW w AS (PARTITION BY key, generation ORDER BY t)""")
 def counter_rate(spark, sf):
@@ -447,6 +455,12 @@ def pts_rebase(spark, sf):
     return retention.relayed(p)
 
 
+@query()
+def pts_rebase_whole(spark, sf):
+    """pts_rebase of whole streams, too long for recursive SQL; tests hold it against a mirror."""
+    return retention.relayed(X.packets(spark, sf).withColumn("pts_us", F.expr("case when seq % 40 < 30 then (seq % 40) * 33000 else 5000 end").cast("long")))
+
+
 @query(f"""WITH {SHUF}, m AS (SELECT stream_id, seq, CASE WHEN pts_us <= lag(pts_us) OVER (PARTITION BY stream_id ORDER BY seq) THEN 1 ELSE 0 END AS w FROM sp)
 SELECT stream_id, seq, CAST(sum(w) OVER (PARTITION BY stream_id ORDER BY seq) AS BIGINT) AS epoch FROM m""")
 def loop_epochs(spark, sf):
