@@ -36,7 +36,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")), with_records=False)
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

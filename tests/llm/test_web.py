@@ -129,3 +129,11 @@ def test_folded_matching_is_by_path():
     walk(t, 0)
     slots = [{r.slot for r in html_text.runs(x)[0]} for x in (a, b)]
     assert slots[0] | slots[1] <= set(matched) and all(matched[k] == sum(k in s for s in slots) for k in slots[0] | slots[1])
+
+
+def test_warc_query_returns_the_records(spark, sf):
+    from streamloom.llm.queries import QUERIES
+
+    for r in QUERIES["op7_warc_derivatives"](spark, sf).collect():
+        (_, block), = warc.records(bytes(r.record))
+        assert warc.sha1(block) == r.block_digest and len(block) == r.content_length
