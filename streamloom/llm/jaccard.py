@@ -487,13 +487,19 @@ def link_classes(docs: DataFrame, words: int = WORDS, part_bytes: int = PART_BYT
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class, that of its smallest doc_id; rows without a doc_id stay.
+    """docs with one row of each class, that of its smallest doc_id; a null doc_id comes last.
 
-    Of rows that repeat this doc_id the first by text stays; only then are texts sorted.
+    A document is told by a hash of doc_id and text, so null and repeated ids are linked by their texts alone; of
+    rows alike in both one stays, the first by the other columns.
     """
-    firsts = cut(link_classes(docs, **options).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("k")))
-    kept = docs.join(firsts.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if not firsts.where("k > 1").isEmpty():
-        nth = fresh(docs, "nth")
-        kept = kept.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(nth) == 1).select(docs.columns)
-    return docs.where("doc_id is null").unionByName(kept)
+    row, own, k = (fresh(docs, c) for c in ("row", "own", "k"))
+    numbered = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    known = numbered.groupBy(row).agg(F.min("doc_id").alias(own), F.count("*").alias(k))
+    linked = link_classes(numbered.select(F.col(row).alias("doc_id"), "text"), **options).select(F.col("doc_id").alias(row), "component_id").distinct()
+    first = F.min(F.struct(F.col(own).isNull(), own, row, k)).alias("first")
+    firsts = cut(linked.join(known, row).groupBy("component_id").agg(first).select(f"first.{row}", f"first.{k}"))
+    kept = numbered.join(firsts, row)
+    if firsts.where(F.col(k) > 1).isEmpty():
+        return kept.select(docs.columns)
+    one = kept.where(F.col(k) > 1).groupBy(row).agg(F.min(F.struct(*docs.columns)).alias("first")).select("first.*")
+    return kept.where(F.col(k) == 1).select(docs.columns).unionByName(one)

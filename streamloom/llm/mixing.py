@@ -65,7 +65,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget_share: float = BUDGET_SHARE, ma
 
     taken counts words, with repeats. With whole=True a document is taken whole or not: the one in service at the end counts if at least half of it was served.
     """
-    sizes = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    sizes = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("code")))
     n = sizes.count()
     buckets = max(1, -(-n // bucket_rows)) * 4
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget_share: float = BUDGET_SHARE, ma
         .select(F.col("source").alias("s"), F.col("bucket").alias("b"), "offset", "source_size", "target")
     )
     joined = dealt.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    inside = Window.partitionBy("source", "bucket").orderBy("k", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("k", "doc_id", "size", "code").rowsBetween(Window.unboundedPreceding, -1)
     queued = joined.withColumn("begin", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     epoch = lambda e: F.col("begin") + F.lit(e) * F.col("source_size")
     limit = F.floor(F.col("target"))
@@ -94,7 +94,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget_share: float = BUDGET_SHARE, ma
     return (
         queued.withColumn("taken", taken.cast("long"))
         .withColumn("finish_time", F.when(F.col("target") > 0, (F.col("begin") + F.col("size")) / F.col("target")).otherwise(F.lit(0.0)))
-        .select("doc_id", "size", "source_size", "target", "taken", "source", "finish_time")
+        .select("doc_id", "size", "source_size", "target", "taken", "source", "finish_time", *(["code"] if whole else []))
         .orderBy("finish_time")
     )
 
@@ -102,12 +102,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget_share: float = BUDGET_SHARE, ma
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of docs; documents stay whole.
 
-    Rows alike in doc_id, source and size share their copies evenly (rounded).
+    Rows are told by doc_id, source and a hash of the text; rows alike in all three share their copies, the first ones more.
     """
-    doc, source, size, n = (fresh(docs, f"mix_{c}") for c in ("id", "source", "size", "n"))
-    taken = mix(docs, whole=True, **options).where("taken > 0")
-    copies = taken.groupBy(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias(size)).agg(
-        F.round(F.sum("taken") / F.first("size") / F.count("*")).cast("int").alias(n)
-    )
-    match = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (n_words(F.col("text")) == F.col(size))
-    return docs.join(copies.where(F.col(n) > 0), match).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)
+    doc, source, code, n, m, nth = (fresh(docs, f"mix_{c}") for c in ("id", "source", "code", "n", "m", "nth"))
+    alike = mix(docs, whole=True, **options).where("size > 0").groupBy(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("code").alias(code))
+    copies = cut(alike.agg(F.round(F.sum("taken") / F.first("size")).cast("int").alias(n), F.count("*").cast("int").alias(m)).where(F.col(n) > 0))
+    match = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (F.xxhash64("text") == F.col(code))
+    joined = docs.join(copies, match)
+    if not copies.where(F.col(m) > 1).isEmpty():
+        order = Window.partitionBy(doc, source, code).orderBy([c for c in docs.columns if c != "text"])
+        some = joined.where(F.col(m) > 1).withColumn(nth, F.row_number().over(order))
+        share = F.floor(F.col(n) / F.col(m)) + (F.col(nth) <= F.col(n) % F.col(m)).cast("int")
+        some = some.withColumn(n, share.cast("int")).where(F.col(n) > 0).drop(nth)
+        joined = joined.where(F.col(m) == 1).unionByName(some)
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)

@@ -23,3 +23,21 @@ def test_stages(spark, sf, tmp_path):
         else:
             assert out.columns == columns
         docs = out
+
+
+def test_null_and_repeated_ids(spark):
+    """Copies without an id are left out, other documents of a repeated id stay, and rows without an id get their copies."""
+    from conftest import documents
+
+    from streamloom.llm import jaccard, mixing
+
+    long = " ".join(f"w{i}" for i in range(60))
+    near = long + " end"
+    rows = [(None, long, "en", "a"), (None, long, "en", "a"), (None, near, "en", "a"), (7, "one quite different text of some words", "en", "a"), (7, "and another that is not alike at all", "en", "a"), (7, near, "en", "a"), (9, long, "en", "a")]
+    kept = sorted((str(r.doc_id), r.text) for r in jaccard.one_of_each(documents(spark, rows)).collect())
+    assert kept == sorted([("7", rows[3][1]), ("7", rows[4][1]), ("7", near)])
+    # One source of 40 rows without an id: each 4 words, of two texts; 1.5 times their words are to come out.
+    rows = [(None, f"four words in {'all' if i % 2 else 'sum'}", "en", "a") for i in range(40)]
+    assert abs(mixing.mixed_documents(documents(spark, rows)).count() - 60) <= 1
+    assert abs(mixing.mixed_documents(documents(spark, rows), budget_share=0.4).count() - 16) <= 1
+    assert abs(mixing.mixed_documents(documents(spark, rows), budget_share=1.4).count() - 56) <= 1
