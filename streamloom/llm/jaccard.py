@@ -16,6 +16,8 @@ Two documents link when the Jaccard similarity of their sets of five-word shingl
    comparison a set, and not its square.
 5. A group over GROUP_SETS sets is dealt out in chunks: each is resolved by itself, then one leader per class, then only
    the sets outside a group's main class are compared with every chunk. No pair of classes goes unchecked.
+6. With links=True each document's links are counted: overlaps of all sets of a class are added up from its index lists.
+   Classes over LINK_SETS sets or LINK_BYTES are dealt out by pairs of chunks. This takes the square of a class's sets.
 
 Scale: shingles move as packed arrays, about 8 bytes each, in one shuffle. A shingle that is frequent within a batch is
 marked there as shared and its occurrences skip the shuffle by shingle, so no list of it meets in one task. Copies of
@@ -43,6 +45,7 @@ NUM, DEN = 3, 4
 PART_BYTES = 8 << 20
 GROUP_SETS = 50_000
 GROUP_BYTES = 64 << 20
+LINK_SETS, LINK_BYTES = 2_000, 16 << 20
 HOT = 1 << 31
 MEMO = 250_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -453,8 +456,56 @@ def _resolve_large(sets: DataFrame, sizes: DataFrame, group_sets: int, group_byt
     return classes.join(final.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("sid", F.coalesce("to", "label").alias("root"))
 
 
-def link_classes(docs: DataFrame, words: int = WORDS, part_bytes: int = PART_BYTES, group_sets: int = GROUP_SETS, group_bytes: int = GROUP_BYTES, hot_share: float = 0.02) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one per row of docs."""
+def _count_links(table):
+    """(sid, links): the documents that each set links with by other sets; a task is a pair of chunks of a class."""
+    root, low, high, chunk, sids, n, copies = (table.column(c).to_numpy() for c in ("root", "low", "high", "chunk", "sid", "n", "copies"))
+    data = table.column("tokens").to_pylist()
+    out_s, out_l = [], []
+    order = np.lexsort((high, low, root))
+    task = np.unique(np.stack([root[order], low[order], high[order]], 1), axis=0, return_inverse=True)[1].ravel()
+    again = np.argsort(task, kind="stable")
+    for a, b in _segments(task[again]):
+        who = order[again[a:b]]
+        size, times, side, between = n[who].astype("i8"), copies[who], chunk[who], low[who[0]] != high[who[0]]
+        sets = [np.frombuffer(data[i], "<u8") for i in who]
+        lengths = np.asarray([len(x) for x in sets])
+        inverse = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+        holders = np.repeat(np.arange(len(who)), lengths)[np.argsort(inverse, kind="stable")]
+        df = np.bincount(inverse)
+        begins = np.concatenate([[0], np.cumsum(df)])
+        links = np.zeros(len(who), "i8")
+        for x, mine in enumerate(np.split(inverse, np.cumsum(lengths)[:-1])):
+            overlap = np.zeros(len(who), "i8")
+            for part in np.array_split(mine, 1 + int(df[mine].sum()) // 4_000_000):
+                if len(part):
+                    overlap += np.bincount(np.concatenate([holders[begins[t] : begins[t + 1]] for t in part.tolist()]), minlength=len(who))
+            linked = overlap >= least_overlap(size[x], size)
+            linked[x] = False
+            if between:
+                linked &= side != side[x]
+            links[x] = times[linked].sum()
+        out_s.append(sids[who])
+        out_l.append(links)
+    return pa.table({"sid": np.concatenate(out_s) if out_s else np.empty(0, "i8"), "links": np.concatenate(out_l) if out_l else np.empty(0, "i8")})
+
+
+def _links(sets: DataFrame, rooted: DataFrame, parts: int, link_sets: int, link_bytes: int) -> DataFrame:
+    """(sid, links) of the sets in classes of two sets or more. rooted: sid, root, copies, n."""
+    per = rooted.groupBy("root").agg(F.count("*").alias("k"), F.sum(F.col("n").cast("long") * 8).alias("b")).where("k > 1")
+    per = per.select("root", F.greatest(F.ceil(F.col("k") / link_sets), F.ceil(F.col("b") / link_bytes)).alias("chunks"))
+    dealt = (
+        sets.join(rooted.join(per, "root").select("sid", "root", "copies", "chunks"), "sid")
+        .withColumn("chunk", F.pmod(F.xxhash64("sid", F.lit("links")), F.col("chunks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        .select("root", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "sid", "n", "tokens", "copies")
+    )
+    bucket = F.pmod(F.xxhash64("root", "low", "high"), F.lit(parts * 4)).alias("bucket")
+    counted = dealt.groupBy(bucket).applyInArrow(lambda _, t: _count_links(t), "sid long, links long")
+    return counted.groupBy("sid").agg(F.sum("links").alias("links"))
+
+
+def link_classes(docs: DataFrame, words: int = WORDS, part_bytes: int = PART_BYTES, group_sets: int = GROUP_SETS, group_bytes: int = GROUP_BYTES, hot_share: float = 0.02, links: bool = False, link_sets: int = LINK_SETS, link_bytes: int = LINK_BYTES) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id), one per row of docs. links: also n_links, with how many other rows it links."""
     spark = docs.sparkSession
     parts = min(1 << 15, scan_parts(docs, part_bytes, least=16))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
@@ -476,13 +527,17 @@ def link_classes(docs: DataFrame, words: int = WORDS, part_bytes: int = PART_BYT
     roots = small.groupBy(F.pmod(F.xxhash64("comp"), F.lit(parts * 4)).alias("bucket")).applyInArrow(lambda _, t: _resolve_groups(t), ROOTS)
     if some_large:
         roots = roots.unionByName(_resolve_large(grouped, large, group_sets, group_bytes))
-    least = documents.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    rooted = least.join(roots, "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
+    least = documents.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("n").alias("n"))
+    rooted = least.join(roots, "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root"), "copies", "n")
     rooted = cut(rooted)
     classes = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    of_set = rooted.join(classes, "root").select("sid", "component")
+    of_set = rooted.join(classes, "root").select("sid", "component", "copies")
+    n_links = []
+    if links:
+        of_set = of_set.join(_links(sets, rooted, parts, link_sets, link_bytes), "sid", "left")
+        n_links = [F.when(F.col("n") > 0, F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links")]
     return documents.join(of_set, "sid", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), *n_links
     )
 
 

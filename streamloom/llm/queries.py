@@ -24,7 +24,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link_classes(table(spark, sf_dir, "documents"))
+    return jaccard.link_classes(table(spark, sf_dir, "documents"), links=True)
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

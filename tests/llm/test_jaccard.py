@@ -98,3 +98,14 @@ def test_one_of_each_and_empty(spark, edge, none):
     assert kept.columns == edge.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 7, 8, 9, 10, None]))
     assert jaccard.link_classes(none).count() == 0 and jaccard.one_of_each(none).count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"link_sets": 7, "group_sets": 12, "hot_share": 0.0}])
+def test_links_against_brute_force(spark, options):
+    rows = near_copies(11) + EDGE + near_copies(11)[:20]
+    rows = [(None if r[0] is None else i, *r[1:]) for i, r in enumerate(rows)]
+    sets = [frozenset(jaccard.shingles((r[1] or "").encode()).tolist()) for r in rows]
+    linked = lambda a, b: a and 100 * len(a & b) >= 75 * len(a | b)
+    want = sorted((str(r[0]), sum(bool(linked(a, b)) for j, b in enumerate(sets) if j != i)) for i, (r, a) in enumerate(zip(rows, sets, strict=True)))
+    found = sorted((str(r.doc_id), r.n_links) for r in jaccard.link_classes(documents(spark, rows).repartition(3), links=True, **options).collect())
+    assert found == want and sum(n for _, n in want) > 100
