@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import in_polygon
+from .ordered import RANGE, SPAN, carried, inside, over_ranges
 
 
 def top_values(rows: DataFrame, column: str, k: int, arrival: str) -> DataFrame:
@@ -74,19 +75,34 @@ def counter_rates(samples: DataFrame, value: str = "value") -> DataFrame:
     return samples.withColumn("rate", (F.col(value) - F.lag(value).over(w)) / dt)
 
 
-def nearest(left: DataFrame, right: DataFrame, tolerance: int) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, tolerance: int, span: int = SPAN) -> DataFrame:
     """As-of join: per row of left (key, id, t) the row of right (key, rid, rt) nearest in time if within tolerance, else the newest of the key.
 
-    Equally near: the earlier. One union and two running windows per key: a sort, not a join of all pairs.
+    Equally near: the earlier, then the smaller rid. One union, dealt by key and range of time; ranges are so wide that they hold about
+    `span` rows where times are spread evenly. Within a range two running windows, both from the past (a frame that runs to
+    the end of a partition takes the square of its rows); the ranges' first and last right rows are carried to the others.
+    Rows without key or time are left out.
     """
     u = left.select("key", F.col("t").alias("at"), F.col("id"), F.lit(None).cast("long").alias("rid"), F.lit(1).alias("side")).unionByName(
         right.select("key", F.col("rt").alias("at"), F.lit(None).cast("long").alias("id"), "rid", F.lit(0).alias("side"))
     )
-    pick = F.when(F.col("side") == 0, F.struct(F.col("at").alias("rt"), "rid"))
-    back = Window.partitionBy("key").orderBy("at", "side", "rid").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("key").orderBy("at", F.col("side").desc(), "rid").rowsBetween(0, Window.unboundedFollowing)
-    every = Window.partitionBy("key")
-    x = u.withColumn("p", F.last(pick, ignorenulls=True).over(back)).withColumn("f", F.first(pick, ignorenulls=True).over(ahead)).withColumn("newest", F.max(pick).over(every)).where("side = 1")
+    u = u.where(F.col("key").isNotNull() & F.col("at").isNotNull())
+    spread = u.agg(F.min("at").alias("_lo"), F.greatest(F.lit(1.0), (F.max("at") - F.min("at") + 1) * F.lit(float(span)) * F.approx_count_distinct("key") / F.count("*")).alias("_width"))
+    u = u.join(F.broadcast(spread)).withColumn(RANGE, F.floor((F.col("at") - F.col("_lo")) / F.col("_width")).cast("long")).drop("_lo", "_width")  # one row
+    right_row = F.when(F.col("side") == 0, F.struct(F.col("at").alias("rt"), "rid"))
+    # Of right rows at one time the one of the smallest rid, so ids are negated where the largest is taken.
+    late = F.when(F.col("side") == 0, F.struct(F.col("at").alias("rt"), (-F.col("rid")).alias("neg")))
+    key = ["key"]
+    ends = {"_first": F.min(right_row), "_late": F.max(late), "_newest": F.max(right_row)}
+    u = carried(
+        u, key, ends,
+        lambda _: [F.last("_late", ignorenulls=True).over(over_ranges(key)).alias("_before"), F.last("_first", ignorenulls=True).over(over_ranges(key, back=True)).alias("_after"), F.max("_newest").over(Window.partitionBy(*key)).alias("newest")],
+    )
+    before = F.struct(F.col("_before.rt").alias("rt"), (-F.col("_before.neg")).alias("rid"))
+    back = inside(key, "at", "side", F.col("rid").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = inside(key, F.col("at").desc(), "side", F.col("rid").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    x = u.withColumn("p", F.coalesce(F.last(right_row, ignorenulls=True).over(back), F.when(F.col("_before").isNotNull(), before)))
+    x = x.withColumn("f", F.coalesce(F.last(right_row, ignorenulls=True).over(ahead), F.col("_after"))).where("side = 1")
     dp, df_ = F.col("at") - F.col("p.rt"), F.col("f.rt") - F.col("at")
     near = F.when(F.col("f").isNull() | (dp <= df_), F.col("p")).otherwise(F.col("f"))
     near = F.when(F.col("p").isNull(), F.col("f")).otherwise(near)

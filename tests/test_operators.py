@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,17 @@ def test_recommend(spark):
     with pytest.raises(ValueError):
         capacity.recommend(spark, 0)
     assert capacity.tile_count("4k", 640) == 33
+
+
+@pytest.mark.parametrize("span", [5, 40, 1 << 18])
+def test_nearest_against_all_pairs(spark, span):
+    """Ranges of time cut anywhere; right rows share times."""
+    rng = random.Random(1)
+    left, right = ([(rng.randrange(3), i, rng.randrange(300)) for i in range(n)] for n in (400, 120))
+    want = []
+    for key, i, t in left:
+        pairs = [(abs(rt - t), rt, rid) for k, rid, rt in right if k == key]
+        near, _, rid = min(pairs)
+        want.append((key, i, rid if near <= 1 else max((rt, rid) for _, rt, rid in pairs)[1], near <= 1))
+    got = consumers.nearest(spark.createDataFrame(left, "key int, id long, t long"), spark.createDataFrame(right, "key int, rid long, rt long"), 1, span)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
