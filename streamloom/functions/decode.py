@@ -67,22 +67,63 @@ def _box(x0, y0, x1, y1, lb, src_w, src_h, off_x, off_y, score, cls) -> Column:
     )
 
 
-def yolo(raw: Column, anchors: int, classes: int, lb: Column, src_w: Column, src_h: Column, threshold: float = 0.4, off_x: int = 0, off_y: int = 0) -> Column:
-    """Detections of a channel-major head [4 + classes, anchors]. The class scan starts at (class 0, score 0): if no score is positive, that stays."""
-    at = lambda r, i: F.element_at(raw, (i + r * anchors + 1).cast("int")).cast("double")
-
-    def one(i: Column) -> Column:
-        scores = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: at(c + 4, i))
-        top = F.array_max(F.transform(scores, lambda s: F.when(F.isnan(s), F.lit(0.0)).otherwise(s)))
-        best = F.greatest(top, F.lit(0.0))
-        cls = F.when(top > 0, F.array_position(scores, top) - 1).otherwise(F.lit(0))
-        x0 = (at(F.lit(0), i) - at(F.lit(2), i) / 2 - lb["pad_x"]) / lb["scale"]
-        y0 = (at(F.lit(1), i) - at(F.lit(3), i) / 2 - lb["pad_y"]) / lb["scale"]
-        box = _box(x0, y0, x0 + at(F.lit(2), i) / lb["scale"], y0 + at(F.lit(3), i) / lb["scale"], lb, src_w, src_h, off_x, off_y, best, cls)
-        return F.struct(i.cast("int").alias("anchor"), box.alias("box"))
-
-    found = F.transform(F.sequence(F.lit(0), F.lit(anchors - 1)), one)
-    return F.transform(F.filter(found, lambda d: d["box"]["score"] >= threshold), lambda d: d["box"])
+_DETS = "array<struct<x:double,y:double,w:double,h:double,score:double,cls:int>>"
+#: Values of heads that are decoded at once.
+_AT_ONCE = 8 << 20
+
+
+def _decoded(heads, anchors: int, classes: int, threshold: float, place):
+    """Offsets and flat columns of the boxes of heads (n, 4 + classes, anchors); place: n rows of scale, pad_x, pad_y, src_w, src_h, off_x, off_y."""
+    import numpy as np
+
+    scores = heads[:, 4:, :]
+    scores = np.where(np.isnan(scores), 0.0, scores)
+    cls = scores.argmax(1)
+    best = np.maximum(np.take_along_axis(scores, cls[:, None, :], 1)[:, 0, :], 0.0)
+    row, anchor = np.nonzero(best >= threshold)  # boxes are made of what is left only
+    best, cls = best[row, anchor], cls[row, anchor]
+    cls[best <= 0] = 0
+    cx, cy, w, h = (heads[row, k, anchor] for k in range(4))
+    scale, pad_x, pad_y, src_w, src_h, off_x, off_y = place[row].T
+    x0, y0 = (cx - w / 2 - pad_x) / scale, (cy - h / 2 - pad_y) / scale
+    clamp = lambda v, top: np.minimum(np.maximum(v, 0.0), top)
+    ax, ay, bx, by = clamp(x0, src_w), clamp(y0, src_h), clamp(x0 + w / scale, src_w), clamp(y0 + h / scale, src_h)
+    cols = (ax + off_x, ay + off_y, np.maximum(bx - ax, 0.0), np.maximum(by - ay, 0.0), best, cls.astype(np.int32))
+    return np.bincount(row, minlength=len(heads)), cols
+
+
+def yolo(raw: Column, anchors: int, classes: int, lb: Column, src_w: Column, src_h: Column, threshold: float = 0.4, off_x: Column | int = 0, off_y: Column | int = 0) -> Column:
+    """Detections of a channel-major head [4 + classes, anchors]. The class scan starts at (class 0, score 0): if no score is positive, that stays.
+
+    Heads are dense arithmetic (8400 anchors by 84 channels are the rule), so they go to numpy in Arrow batches, whose bytes Spark
+    bounds: one argmax, then boxes of the anchors over the threshold only. A null head has null detections; one of
+    another length than (4 + classes) * anchors fails.
+    """
+    size = (4 + classes) * anchors
+
+    @F.arrow_udf(_DETS)
+    def decode(head, scale, pad_x, pad_y, w, h, ox, oy):
+        import numpy as np
+        import pyarrow as pa
+
+        place = np.stack([np.asarray(c.cast(pa.float64()).to_numpy(zero_copy_only=False), np.float64) for c in (scale, pad_x, pad_y, w, h, ox, oy)], 1)
+        valid = np.flatnonzero(np.asarray(head.is_valid()))
+        if len(valid) and (np.asarray(head.value_lengths().take(pa.array(valid))) != size).any():
+            raise ValueError(f"a head of {4 + classes} x {anchors} has {size} values")
+        flat = head.flatten().to_numpy(zero_copy_only=False).reshape(len(valid), 4 + classes, anchors)
+        counts, parts, step = np.zeros(len(head), np.int64), [], max(1, _AT_ONCE // size)
+        for k in range(0, len(valid), step):
+            some = valid[k : k + step]
+            counts[some], cols = _decoded(flat[k : k + step].astype(np.float64), anchors, classes, threshold, place[some])
+            parts.append(cols)
+        cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0)] * 5 + [np.empty(0, np.int32)]
+        boxes = pa.StructArray.from_arrays([pa.array(c) for c in cols], names=["x", "y", "w", "h", "score", "cls"])
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        made = pa.ListArray.from_arrays(pa.array(offsets), boxes)
+        return made if len(valid) == len(head) else pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~np.isin(np.arange(len(head)), valid), False)), boxes)
+
+    number = lambda c: F.lit(c) if isinstance(c, (int, float)) else c
+    return decode(raw, *[c.cast("double") for c in (lb["scale"], lb["pad_x"], lb["pad_y"], src_w, src_h, number(off_x), number(off_y))])
 
 
 def end_to_end(raw: Column, rows: int, lb: Column, src_w: Column, src_h: Column, threshold: float = 0.4, normalised: tuple[int, int] | None = None) -> Column:

@@ -231,12 +231,14 @@ def _boxes(src: str, x0: str, y0: str, x1: str, y1: str, extra: str) -> str:
 bx AS (SELECT {extra}, round(ax, 4) AS x, round(ay, 4) AS y, round(greatest(bx - ax, 0), 4) AS w, round(greatest(by_ - ay, 0), 4) AS h, round(score, 6) AS score, cls FROM b0)"""
 
 
-def _flat(df: DataFrame, dets: str) -> DataFrame:
-    d = df.select("vec_id", F.posexplode(dets).alias("rank", "d"))
+def _flat(df: DataFrame, dets: str, least: float) -> DataFrame:
+    """Boxes as reported: rounded, and those whose reported score is `least` or more."""
+    d = df.select("vec_id", F.posexplode(F.filter(dets, lambda d: F.round(d["score"].cast("double"), 6) >= least)).alias("rank", "d"))
     return d.select("vec_id", "rank", *[F.round(f"d.{c}", 4).alias(c) for c in "xywh"], F.round("d.score", 6).alias("score"), "d.cls")
 
 
-_LB720 = {"scale": 0.5, "pad_x": 0, "pad_y": 140}
+#: Scores are reported to six places and held against thresholds as reported; decoding leaves out what cannot round up to one.
+_HALF = 1e-6
 
 
 def _lb():
@@ -251,7 +253,7 @@ SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY i) - 1 AS IN
 def yolo_decode(spark, sf):
     scaled = F.transform(F.col("embedding"), lambda v, i: F.when(i < 32, v.cast("double") * 100).otherwise(v.cast("double")))
     v = X.vectors(spark, sf).select("vec_id", scaled.alias("raw"))
-    return _flat(v.select("vec_id", D.yolo(F.col("raw"), 8, 4, _lb(), F.lit(1280), F.lit(720), 0.1).alias("d")), "d")
+    return _flat(v.select("vec_id", D.yolo(F.col("raw"), 8, 4, _lb(), F.lit(1280), F.lit(720), 0.1 - _HALF).alias("d")), "d", 0.1)
 
 
 def _e2e_sql(norm: bool) -> str:
@@ -268,14 +270,14 @@ SELECT vec_id, x, y, w, h, score, cls FROM bx WHERE score >= 0.05"""
 @query(_e2e_sql(False))
 def e2e_decode(spark, sf):
     scaled = F.transform(F.col("embedding"), lambda v, i: F.when(i % 6 < 4, v.cast("double") * 900).otherwise(v.cast("double")))
-    v = X.vectors(spark, sf).select("vec_id", D.end_to_end(scaled, 10, _lb(), F.lit(1280), F.lit(720), 0.05).alias("d"))
-    return _flat(v, "d").drop("rank")
+    v = X.vectors(spark, sf).select("vec_id", D.end_to_end(scaled, 10, _lb(), F.lit(1280), F.lit(720), 0.05 - _HALF).alias("d"))
+    return _flat(v, "d", 0.05).drop("rank")
 
 
 @query(_e2e_sql(True))
 def rtdetr_decode(spark, sf):
-    v = X.vectors(spark, sf).select("vec_id", D.end_to_end(F.col("embedding"), 10, _lb(), F.lit(1280), F.lit(720), 0.05, (640, 640)).alias("d"))
-    return _flat(v, "d").drop("rank")
+    v = X.vectors(spark, sf).select("vec_id", D.end_to_end(F.col("embedding"), 10, _lb(), F.lit(1280), F.lit(720), 0.05 - _HALF, (640, 640)).alias("d"))
+    return _flat(v, "d", 0.05).drop("rank")
 
 
 @query("SELECT vec_id, CASE label WHEN 0 THEN 'cat' WHEN 1 THEN 'dog' WHEN 5 THEN 'car' ELSE 'imagenet_' || CAST(label AS VARCHAR) END AS name FROM embeddings")

@@ -105,3 +105,17 @@ def test_nearest_against_all_pairs(spark, span):
         want.append((key, i, rid if near <= 1 else max((rt, rid) for _, rt, rid in pairs)[1], near <= 1))
     got = consumers.nearest(spark.createDataFrame(left, "key int, id long, t long"), spark.createDataFrame(right, "key int, rid long, rt long"), 1, span)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_yolo_heads(spark):
+    """NaN never wins, no positive score is class 0 with score 0, null heads stay null, wrong lengths fail."""
+    nan = float("nan")
+    heads = [[50.0, 10, 50, 10, 20, 4, 20, 4, 0.9, nan, 0.2, 0.6], None, [50.0, 10, 50, 10, 20, 4, 20, 4, -1.0, -0.5, -2.0, -0.1]]
+    df = spark.createDataFrame([(i, h and [float(v) for v in h]) for i, h in enumerate(heads)], "i int, raw array<double>")
+    lb = F.struct(F.lit(0.5).alias("scale"), F.lit(0).alias("pad_x"), F.lit(0).alias("pad_y"))
+    found = lambda t, **k: {r.i: r.d for r in df.select("i", decode.yolo(F.col("raw"), 2, 2, lb, F.lit(110), F.lit(110), t, **k).alias("d")).collect()}
+    got = found(0.4, off_x=1000)
+    assert [(d.x, d.y, d.w, d.h, d.score, d.cls) for d in got[0]] == [(1080.0, 80.0, 30.0, 30.0, 0.9, 0), (1016.0, 16.0, 8.0, 8.0, 0.6, 1)]
+    assert got[1] is None and got[2] == [] and [(d.score, d.cls) for d in found(0.0)[2]] == [(0.0, 0), (0.0, 0)]
+    with pytest.raises(Exception, match="12 values|has 15 values"):
+        df.select(decode.yolo(F.col("raw"), 3, 1, lb, F.lit(110), F.lit(110)).alias("d")).collect()
