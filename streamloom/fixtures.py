@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .operators.ordered import numbered
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,7 +19,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("event_id", "stream_id", "pts_us")
-    p = e.withColumn("seq", F.row_number().over(Window.partitionBy("stream_id").orderBy("event_id")).cast("long"))
+    p = numbered(e, ["stream_id"], "event_id", "seq").withColumn("seq", F.col("seq").cast("long"))
     return p.select("event_id", "stream_id", "seq", "pts_us", F.col("pts_us").alias("arrival_us"), (F.col("seq") % 30 == 1).alias("keyframe"), (F.col("event_id") % 997 + 1000).alias("size"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import in_polygon
-from .ordered import RANGE, SPAN, carried, inside, over_ranges
+from ..materialise import cut
+from .ordered import RANGE, SPAN, carried, inside, neighbours, over_ranges, ranged, streamed
 
 
 def top_values(rows: DataFrame, column: str, k: int, arrival: str) -> DataFrame:
@@ -26,20 +27,28 @@ def zone_hits(detections: DataFrame, zones: DataFrame) -> DataFrame:
     return j.drop("_s", "polygon", "_x0", "_x1", "_y0", "_y1")
 
 
-def zone_events(frames: DataFrame, hits: DataFrame, zones: DataFrame) -> DataFrame:
-    """ENTER and LEAVE of each zone, frame by frame, with the running count of detections in it."""
-    per = hits.groupBy("stream_id", "frame_no", "zone").agg(F.count("*").alias("inside"))
-    every = frames.select("stream_id", "frame_no").join(F.broadcast(zones.select("stream_id", "zone")), "stream_id")
-    w = Window.partitionBy("stream_id", "zone").orderBy("frame_no")
-    state = (
-        every.join(per, ["stream_id", "frame_no", "zone"], "left")
-        .withColumn("inside", F.coalesce("inside", F.lit(0)))
-        .withColumn("occupied", F.col("inside") > 0)
-        .withColumn("before", F.lag("occupied", 1, False).over(w))
-        .withColumn("total", F.sum("inside").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    event = F.when(F.col("occupied"), F.lit("ENTER")).otherwise(F.lit("LEAVE"))
-    return state.where("occupied <> before").select("stream_id", "zone", "frame_no", event.alias("event"), F.col("total").cast("long").alias("total"))
+def zone_events(frames: DataFrame, hits: DataFrame, span: int = SPAN) -> DataFrame:
+    """ENTER and LEAVE of each zone, frame by frame, with the running count of detections in it.
+
+    Only frames with hits are looked at: a zone is entered at a frame with hits if the frame before it in the stream has none, and left at
+    the frame after one with hits if that has none. So frames are joined with their neighbours, never with all zones.
+    """
+    f = neighbours(frames.select("stream_id", "frame_no"), ["stream_id"], "frame_no", span)
+    # Hits are costly and what is kept of them is small, so they are found once.
+    per = cut(hits.groupBy("stream_id", "zone", "frame_no").agg(F.count("*").alias("inside")).join(f, ["stream_id", "frame_no"]))
+    key = ["stream_id", "zone"]
+    state = [
+        F.last("_last").over(over_ranges(key)).alias("_b"), F.last("_first").over(over_ranges(key, back=True)).alias("_a"),
+        F.coalesce(F.sum("_sum").over(over_ranges(key)), F.lit(0)).alias("_s"),
+    ]
+    per = carried(ranged(per, "frame_no", span), key, {"_first": F.min("frame_no"), "_last": F.max("frame_no"), "_sum": F.sum("inside")}, lambda _: state)
+    w = inside(key, "frame_no")
+    per = per.withColumn("_hit_before", F.coalesce(F.lag("frame_no").over(w), "_b")).withColumn("_hit_after", F.coalesce(F.lead("frame_no").over(w), "_a"))
+    per = per.withColumn("total", F.col("_s") + F.sum("inside").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    enter = F.when(F.col("_hit_before").isNull() | (F.col("_hit_before") < F.col("before")), F.struct(F.col("frame_no").alias("frame_no"), F.lit("ENTER").alias("event")))
+    leave = F.when(F.col("after").isNotNull() & (F.col("_hit_after").isNull() | (F.col("_hit_after") > F.col("after"))), F.struct(F.col("after").alias("frame_no"), F.lit("LEAVE").alias("event")))
+    found = per.select("stream_id", "zone", F.explode(F.array_compact(F.array(enter, leave))).alias("e"), "total")
+    return found.select("stream_id", "zone", "e.frame_no", "e.event", F.col("total").cast("long").alias("total"))
 
 
 def cross_stream_matches(vectors: DataFrame, gallery: int = 50, least: float = 0.85, bucket: int | None = None) -> DataFrame:
@@ -68,6 +77,19 @@ def ema(values: Column, alpha: float = 0.05) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: F.when(a == 0, v).otherwise(a * (1 - alpha) + v * alpha))
 
 
+def last_emas(rows: DataFrame, keys: list[str], order: str, value: str, alpha: float = 0.05) -> DataFrame:
+    """(keys, ema): the mean that `ema` has after a key's last row; values are 0 or more, and order counts a key's rows (frame_no).
+
+    With such values the mean is exactly 0 only before the first positive one, which seeds it; from there on it is a weighted sum,
+    which partial sums add up like any other.
+    """
+    seed = rows.where(F.col(value) > 0).groupBy(*keys).agg(F.min(order).alias("_seed"))
+    last = rows.groupBy(*keys).agg(F.max(order).alias("_last")).join(seed, keys, "left")
+    r = rows.join(last, keys).where(F.col("_seed").isNull() | (F.col(order) >= F.col("_seed")))
+    weight = F.pow(F.lit(1 - alpha), F.col("_last") - F.col(order)) * F.when(F.col(order) == F.col("_seed"), 1.0).otherwise(alpha)
+    return r.groupBy(*keys).agg(F.sum(F.coalesce(F.col(value), F.lit(0.0)) * weight).alias("ema"))
+
+
 def counter_rates(samples: DataFrame, value: str = "value") -> DataFrame:
     """Per-second rate between samples (key, generation, t, value) of a counter that restarts with each generation."""
     w = Window.partitionBy("key", "generation").orderBy("t")
@@ -156,22 +178,33 @@ TRACKED = "stream_id int, frame_no int, det_idx int, track_id int, hits int, con
 
 
 def tracked(detections: DataFrame, **options) -> DataFrame:
-    """Track ids of (stream_id, frame_no, pts_us, det_idx, x, y, w, h); a stream is sequential, so it is one group."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_no", "det_idx"], kind="stable")
-        tracker, rows = Tracker(**options), []
-        boxes = list(zip(*(pdf[c].astype(float).tolist() for c in "xywh"), strict=True))
-        streams, numbers, pts, places = (pdf[c].tolist() for c in ("stream_id", "frame_no", "pts_us", "det_idx"))
-        a = 0
-        while a < len(boxes):
-            b = a + 1
-            while b < len(boxes) and numbers[b] == numbers[a]:
-                b += 1
-            found = tracker.frame(boxes[a:b], pts[a])
-            rows += [(streams[i], numbers[i], places[i], *f) for i, f in zip(range(a, b), found, strict=True)]
-            a = b
-        return pd.DataFrame(rows, columns=["stream_id", "frame_no", "det_idx", "track_id", "hits", "confirmed"])
-
-    return detections.groupBy("stream_id").applyInPandas(run, TRACKED)
+    """Track ids of (stream_id, frame_no, pts_us, det_idx, x, y, w, h).
+
+    The rule is sequential, so a stream is one task; its rows come sorted in batches, and what is kept are the live tracks and the frame at hand.
+    """
+
+    def machine():
+        tracker, held = Tracker(**options), []  # rows of the frame that the last batch may have cut
+
+        def frame(rows: list, out: dict) -> None:
+            for (t, hits, ok), r in zip(tracker.frame([r[4:] for r in rows], rows[0][2]), rows, strict=True):
+                for n, v in zip(out, (r[0], r[1], r[3], t, hits, ok), strict=True):
+                    out[n].append(v)
+
+        def step(rows):
+            out: dict = {n.split()[0]: [] for n in TRACKED.split(", ")}
+            if rows is not None:
+                boxes = ([float(v) for v in rows[c]] for c in "xywh")
+                for r in zip(*(rows[c] for c in ("stream_id", "frame_no", "pts_us", "det_idx")), *boxes, strict=True):
+                    if held and held[0][1] != r[1]:
+                        frame(held, out)
+                        held.clear()
+                    held.append(r)
+            elif held:
+                frame(held, out)
+            return out
+
+        return step
+
+    cols = detections.select("stream_id", "frame_no", "pts_us", "det_idx", "x", "y", "w", "h")
+    return streamed(cols, "stream_id", ["frame_no", "det_idx"], machine, TRACKED)

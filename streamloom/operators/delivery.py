@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import streamed
+
 
 def event_line() -> Column:
     """One JSON object a frame. Embeddings and labels are not in it; strings are fully escaped."""
@@ -31,10 +33,29 @@ def dump_lines(detections: DataFrame) -> DataFrame:
 
 
 def digest(rows: DataFrame) -> DataFrame:
-    """SHA-256 per stream over its sorted rounded detections; a stream's digests of frames are joined, so no long list of rows is made."""
+    """SHA-256 per stream over the digests of its frames in order, each over the frame's sorted rounded detections.
+
+    A hash over a stream is sequential; frames are digested anywhere, then come sorted in batches, and a stream's task keeps its hash.
+    """
+    import hashlib
+
     line = F.concat_ws(",", "det_idx", "cls", F.round("score", 3).cast("decimal(10,3)"), *[F.round(c, 1).cast("decimal(12,1)") for c in ("x", "y", "w", "h")])
     frame = rows.groupBy("stream_id", "frame_no").agg(F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("det_idx", line.alias("l")))), lambda s: s["l"])), 256).alias("d"))
-    return frame.groupBy("stream_id").agg(F.count("*").alias("frames"), F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("frame_no", "d"))), lambda s: s["d"])), 256).alias("digest"))
+
+    def machine():
+        h, n, stream = hashlib.sha256(), 0, None
+
+        def step(rows):
+            nonlocal n, stream
+            if rows is None:
+                return {"stream_id": [stream], "frames": [n], "digest": [h.hexdigest()]}
+            stream = rows["stream_id"][0]
+            h.update(("\n" * (n > 0) + "\n".join(rows["d"])).encode())
+            n += len(rows["d"])
+
+        return step
+
+    return streamed(frame, "stream_id", ["frame_no"], machine, "stream_id int, frames long, digest string")
 
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..materialise import cut
+from .ordered import RANGE, SPAN, previous, upper_medians
 
-def upper_median(values: Column) -> Column:
-    """The upper-middle element of a group's values. A group's values meet in one place, so it is for groups of bounded size;
-    `percentile`-based medians below scale by counts of values."""
-    s = F.sort_array(F.collect_list(values))
-    return F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
+
+def upper_median(values: str) -> Column:
+    """The upper-middle element of a group's values, sorted[n // 2], as the lower median of the descending order.
+
+    Partial maps of counts by value are merged, so it is for values of few kinds (percentages); `ordered.upper_medians` takes any integers.
+    """
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {values} DESC)")
 
 
 def end_to_end() -> Column:
@@ -21,16 +25,17 @@ def per_stream(results: DataFrame) -> DataFrame:
     return results.groupBy("stream_id").agg(F.count("*").alias("inferred"), F.avg(end_to_end()).alias("mean_ms"))
 
 
-def pts_deltas(packets: DataFrame) -> DataFrame:
+def pts_deltas(packets: DataFrame, span: int = SPAN) -> DataFrame:
     """Valid packets (pts >= 0) with the step from the valid one before them in the stream."""
-    w = Window.partitionBy("stream_id").orderBy("seq")
-    return packets.where("pts_us >= 0").withColumn("delta", F.col("pts_us") - F.lag("pts_us").over(w))
+    p = previous(packets.where("pts_us >= 0"), ["stream_id"], "seq", F.col("pts_us"), "_prior", span)
+    return p.withColumn("delta", F.col("pts_us") - F.col("_prior")).drop("_prior", RANGE)
 
 
-def pts_gaps(packets: DataFrame) -> DataFrame:
-    d = pts_deltas(packets)
-    positive = F.when(F.col("delta") > 0, F.col("delta"))
-    return d.groupBy("stream_id").agg(F.count_if(F.col("delta") <= 0).alias("non_monotonic"), upper_median(positive).alias("median_delta"))
+def pts_gaps(packets: DataFrame, span: int = SPAN) -> DataFrame:
+    """Per stream how often the pts does not increase, and the upper median of its positive steps. Steps are counted once, then only counts are read."""
+    counts = cut(pts_deltas(packets, span).groupBy("stream_id", "delta").agg(F.count("*").alias("n")))
+    back = counts.groupBy("stream_id").agg(F.coalesce(F.sum(F.when(F.col("delta") <= 0, F.col("n"))), F.lit(0)).alias("non_monotonic"))
+    return back.join(upper_medians(counts.where("delta > 0"), ["stream_id"], "delta", "median_delta", "n"), "stream_id", "left")
 
 
 def batches(results: DataFrame) -> DataFrame:

@@ -57,22 +57,21 @@ def previous(df: DataFrame, keys: list[str], order: str, value: Column, name: st
     return r.withColumn(name, F.coalesce(here, F.col("_carry"))["_value"]).drop("_value", "_carry")
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name: str, span: int = SPAN) -> DataFrame:
-    """Adds name, the sum of value over the key's rows up to and with this one; keeps RANGE."""
-    d = df.withColumn("_value", value)
-    d = d if RANGE in df.columns else ranged(d, order, span)
-    r = carried(d, keys, {"_sum": F.sum("_value")}, lambda _: [F.coalesce(F.sum("_sum").over(over_ranges(keys)), F.lit(0)).alias("_before")])
-    w = inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    return r.withColumn(name, F.col("_before") + F.sum("_value").over(w)).drop("_value", "_before")
+def neighbours(df: DataFrame, keys: list[str], order: str, span: int = SPAN, before: str = "before", after: str = "after") -> DataFrame:
+    """Adds the order column's values of the key's rows before and after this one."""
+    ends = {"_first": F.min(order), "_last": F.max(order)}
+    r = carried(ranged(df, order, span), keys, ends, lambda _: [F.last("_last").over(over_ranges(keys)).alias("_b"), F.last("_first").over(over_ranges(keys, back=True)).alias("_a")])
+    w = inside(keys, order)
+    return r.withColumn(before, F.coalesce(F.lag(order).over(w), F.col("_b"))).withColumn(after, F.coalesce(F.lead(order).over(w), F.col("_a"))).drop(RANGE, "_b", "_a")
 
 
-def upper_medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """(keys, name): the upper-middle one of a key's values that are not null, sorted[n // 2]; value is an integer column.
+def upper_medians(df: DataFrame, keys: list[str], value: str, name: str, times: str | None = None) -> DataFrame:
+    """(keys, name): the upper-middle one of a key's values that are not null, sorted[n // 2]; value is an integer column; times: how often a row counts.
 
     A radix selection: counts by the value's high part tell the part that holds the middle, counts of that part's values the
     value. A key has few high parts and at most 65,536 values in one, so no list of a key's values is made.
     """
-    v = df.where(F.col(value).isNotNull()).select(*keys, F.shiftright(F.col(value).cast("long"), 16).alias("_hi"), F.col(value).alias("_v"))
+    v = df.where(F.col(value).isNotNull()).select(*keys, F.shiftright(F.col(value).cast("long"), 16).alias("_hi"), F.col(value).alias("_v"), (F.col(times) if times else F.lit(1)).alias("_w"))
 
     def reached(counts: DataFrame, by: str, target: Column) -> DataFrame:
         """Of each key's ascending values the first at which the running count is over target, and the count before it."""
@@ -82,12 +81,12 @@ def upper_medians(df: DataFrame, keys: list[str], value: str, name: str) -> Data
         return first.select(*keys, "m.*")
 
     middle = F.floor(F.col("_rows") / 2)
-    part = reached(v.groupBy(*keys, "_hi").agg(F.count("*").alias("_n")), "_hi", middle)
+    part = reached(v.groupBy(*keys, "_hi").agg(F.sum("_w").alias("_n")), "_hi", middle)
     wanted = part.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_hi").alias("_part"), (F.floor(F.col("_rows") / 2) - F.col("_skip")).alias("_target"))
     same = F.col("_hi") == F.col("_part")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    low = v.join(wanted, same).groupBy(*keys, "_v", "_target").agg(F.count("*").alias("_n"))
+    low = v.join(wanted, same).groupBy(*keys, "_v", "_target").agg(F.sum("_w").alias("_n"))
     found = low.withColumn("_to", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
     return found.where(F.col("_to") > F.col("_target")).groupBy(*keys).agg(F.min("_v").alias(name))
 

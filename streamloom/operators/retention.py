@@ -5,26 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import RANGE, SPAN, inside, over_ranges, ranged, streamed
+
+
+def _from_anchor(packets: DataFrame, anchor: DataFrame) -> DataFrame:
+    """anchor has a row a stream, so the planner broadcasts it where its measured size allows."""
+    return packets.join(anchor, "stream_id")
+
 
 def retained(packets: DataFrame, seconds: int) -> DataFrame:
     """The ring of each stream: from the last keyframe whose arrival is at or before (newest arrival - seconds); without one, all.
 
-    One aggregate per stream and a join back: no ordering of packets is needed.
+    Two aggregates of a row a stream, the second over keyframes only, and a join back: no ordering of packets is needed.
     """
     newest = packets.groupBy("stream_id").agg(F.max("arrival_us").alias("newest"))
-    aged = packets.join(newest, "stream_id")
-    anchor = aged.groupBy("stream_id").agg(F.max(F.when(F.col("keyframe") & (F.col("arrival_us") <= F.col("newest") - seconds * 1_000_000), F.col("seq"))).alias("anchor"))
-    return packets.join(anchor, "stream_id").where(F.col("anchor").isNull() | (F.col("seq") >= F.col("anchor"))).drop("anchor")
+    aged = newest.join(packets.where("keyframe").select(F.col("stream_id").alias("_s"), F.col("seq").alias("_q"), F.col("arrival_us").alias("_a")), F.col("stream_id") == F.col("_s"), "left")
+    anchor = aged.groupBy("stream_id").agg(F.max(F.when(F.col("_a") <= F.col("newest") - seconds * 1_000_000, F.col("_q"))).alias("anchor"))
+    return _from_anchor(packets, anchor).where(F.col("anchor").isNull() | (F.col("seq") >= F.col("anchor"))).drop("anchor")
 
 
 def clip(packets: DataFrame, seconds_back: float) -> DataFrame:
     """Packets of each stream's clip. The newest pts is that of the last packet by seq. The clip starts at the last keyframe with
     0 <= pts <= newest - seconds_back, else at the first keyframe; streams without a keyframe give nothing."""
     newest = packets.groupBy("stream_id").agg(F.max_by("pts_us", "seq").alias("newest_pts"))
-    j = packets.join(newest, "stream_id")
-    in_time = F.col("keyframe") & (F.col("pts_us") >= 0) & (F.col("pts_us") <= F.col("newest_pts") - int(seconds_back * 1_000_000))
-    anchor = j.groupBy("stream_id").agg(F.coalesce(F.max(F.when(in_time, F.col("seq"))), F.min(F.when(F.col("keyframe"), F.col("seq")))).alias("anchor"))
-    return packets.join(anchor, "stream_id").where(F.col("seq") >= F.col("anchor")).drop("anchor")
+    keys = packets.where("keyframe").select("stream_id", "seq", "pts_us").join(newest, "stream_id")
+    in_time = (F.col("pts_us") >= 0) & (F.col("pts_us") <= F.col("newest_pts") - int(seconds_back * 1_000_000))
+    anchor = keys.groupBy("stream_id").agg(F.coalesce(F.max(F.when(in_time, F.col("seq"))), F.min("seq")).alias("anchor"))
+    return _from_anchor(packets, anchor).where(F.col("seq") >= F.col("anchor")).drop("anchor")
 
 
 def since_seq(packets: DataFrame, seq: int) -> DataFrame:
@@ -37,52 +44,57 @@ def since_pts(packets: DataFrame, pts_us: int) -> DataFrame:
     return packets if pts_us < 0 else packets.where(F.col("pts_us") > pts_us)
 
 
-def rebase(pts: Column, first_delta: int = 33_000) -> Column:
-    """Output clock of a stream's pts in order of seq (an array): where it would not increase, it goes on by the last step."""
-    zero = F.struct(F.lit(0).cast("long").alias("offset"), F.lit(-1).cast("long").alias("last"), F.lit(first_delta).cast("long").alias("delta"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(a: Column, p: Column) -> Column:
-        plain = p + a["offset"]
-        wrap = (a["last"] >= 0) & (plain <= a["last"])
-        out = F.when(wrap, a["last"] + a["delta"]).otherwise(plain)
-        return F.struct(
-            F.when(wrap, a["last"] + a["delta"] - p).otherwise(a["offset"]).alias("offset"), out.alias("last"),
-            F.when(a["last"] >= 0, out - a["last"]).otherwise(a["delta"]).alias("delta"), F.concat(a["out"], F.array(out)).alias("out"),
-        )
+def relayed(packets: DataFrame, first_delta: int = 33_000, span: int = SPAN) -> DataFrame:
+    """(stream_id, seq, pts_us, out_pts_us): the relay clock, which follows the pts and, where that does not increase, goes on by its last step.
 
-    return F.aggregate(pts, zero, step, lambda a: a["out"])
-
-
-def relayed(packets: DataFrame, first_delta: int = 33_000) -> DataFrame:
-    """Packets with out_pts_us, by the state machine of `rebase` over a stream's packets in order of seq.
-
-    The rule is a sequential fold, so a stream is one task; it runs over Arrow batches and holds one stream's (seq, pts).
+    Each step of the clock is the pts' own step where that is positive, else the last such step (first_delta before any), so
+    the clock is a running sum of a running last value. A range of packets is summed up by its first and last pts, its
+    last positive step, the sum of the steps from its first positive one on, and how many rows come before that.
+    The clock starts at the stream's first pts of 0 or more; packets before it keep their pts.
     """
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        offset, last, delta, out = 0, -1, first_delta, []
-        for p in pdf["pts_us"].tolist():
-            now = p + offset
-            if last >= 0 and now <= last:
-                offset = last + delta - p
-                now = p + offset
-            if last >= 0:
-                delta = now - last
-            last = now
-            out.append(now)
-        return pdf.assign(out_pts_us=out)
-
-    cols = packets.select("stream_id", "seq", "pts_us")
-    return cols.groupBy("stream_id").applyInPandas(fold, "stream_id int, seq long, pts_us long, out_pts_us long")
-
-
-def loop_epochs(packets: DataFrame) -> DataFrame:
+    key = ["stream_id"]
+    p = packets.select("stream_id", "seq", "pts_us")
+    start = p.where("pts_us >= 0").groupBy("stream_id").agg(F.min("seq").alias("_start"))
+    p = p.join(start, "stream_id", "left")
+    early = p.where("_start is null or seq < _start").select("stream_id", "seq", "pts_us", F.col("pts_us").alias("out_pts_us"))
+    w = inside(key, "seq")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = ranged(p.where("seq >= _start"), "seq", span).withColumn("_raw", F.col("pts_us") - F.lag("pts_us").over(w))
+    d = d.withColumn("_step", F.last(F.when(F.col("_raw") > 0, F.col("_raw")), ignorenulls=True).over(so_far))
+    sums = {
+        "_p0": F.min_by("pts_us", "seq"), "_p1": F.max_by("pts_us", "seq"), "_step1": F.max_by("_step", "seq"),
+        "_later": F.coalesce(F.sum("_step"), F.lit(0)), "_lead": F.count_if(F.col("_step").isNull()),
+    }
+
+    def folded(per: DataFrame) -> DataFrame:
+        before, at = over_ranges(key), Window.partitionBy(*key).orderBy(RANGE)
+        jump = F.col("_p0") - F.lag("_p1").over(at)
+        x = per.withColumn("_first", F.lag("_p1").over(at).isNull()).withColumn("_own", F.when(jump > 0, jump))
+        x = x.withColumn("_known", F.coalesce("_step1", "_own")).withColumn("_held", F.coalesce(F.last("_known", ignorenulls=True).over(before), F.lit(first_delta)))
+        x = x.withColumn("_lead_step", F.coalesce("_own", "_held"))
+        # The stream's first packet makes no step.
+        x = x.withColumn("_total", (F.col("_lead") - F.col("_first").cast("int")) * F.col("_lead_step") + F.col("_later"))
+        base = F.first("_p0").over(Window.partitionBy(*key).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, 0))
+        return x.select(*key, RANGE, "_first", "_lead_step", (base + F.coalesce(F.sum("_total").over(before), F.lit(0))).alias("_base"))
+
+    per = d.groupBy(*key, RANGE).agg(*[c.alias(n) for n, c in sums.items()])
+    x = d.join(folded(per), [*key, RANGE])
+    first = F.col("_first") & F.lag("seq").over(w).isNull()
+    step = F.when(first, F.lit(0)).otherwise(F.coalesce("_step", "_lead_step"))
+    x = x.withColumn("_move", step).withColumn("out_pts_us", (F.col("_base") + F.sum("_move").over(so_far)).cast("long"))
+    return x.select("stream_id", "seq", "pts_us", "out_pts_us").unionByName(early)
+
+
+def loop_epochs(packets: DataFrame, span: int = SPAN) -> DataFrame:
     """Adds epoch: how often the pts has not increased before this packet of the stream."""
-    w = Window.partitionBy("stream_id").orderBy("seq")
-    marked = packets.withColumn("_wrap", F.coalesce((F.col("pts_us") <= F.lag("pts_us").over(w)).cast("int"), F.lit(0)))
-    return marked.withColumn("epoch", F.sum("_wrap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_wrap")
+    key = ["stream_id"]
+    w = inside(key, "seq")
+    d = ranged(packets, "seq", span).withColumn("_wrap", F.coalesce((F.col("pts_us") <= F.lag("pts_us").over(w)).cast("long"), F.lit(0)))
+    per = d.groupBy(*key, RANGE).agg(F.min_by("pts_us", "seq").alias("_p0"), F.max_by("pts_us", "seq").alias("_p1"), F.sum("_wrap").alias("_n"))
+    # A range's first packet may wrap against the last one of the range before.
+    per = per.withColumn("_into", F.coalesce((F.col("_p0") <= F.lag("_p1").over(Window.partitionBy(*key).orderBy(RANGE))).cast("long"), F.lit(0)))
+    per = per.select(*key, RANGE, (F.col("_into") + F.coalesce(F.sum(F.col("_n") + F.col("_into")).over(over_ranges(key)), F.lit(0))).alias("_base"))
+    return d.join(per, [*key, RANGE]).withColumn("epoch", F.col("_base") + F.sum("_wrap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_wrap", "_base", RANGE)
 
 
 def queue_tail(lines: DataFrame, capacity: int = 1024) -> tuple[DataFrame, DataFrame]:
@@ -94,31 +106,41 @@ def queue_tail(lines: DataFrame, capacity: int = 1024) -> tuple[DataFrame, DataF
 
 
 def drop_oldest(arrivals: DataFrame, polls: DataFrame, capacity: int = 256) -> DataFrame:
-    """Which rows of a bounded queue that evicts its oldest reach the consumer: (queue, item, poll) with poll null where evicted.
+    """Which rows of a bounded queue that evicts its oldest reach the consumer: (queue, item, poll); poll is null where the item was evicted and -1
+    where it was still held at the end.
 
-    arrivals: (queue, item, at); polls: (queue, at). At one time arrivals come before polls. Sequential per queue.
+    arrivals: (queue, item, at); polls: (queue, at). At one time arrivals come before polls. Sequential per queue, so a queue is
+    one task; rows come sorted in batches and what is kept is the queue of at most `capacity` items.
     """
-    import pandas as pd
-
-    def play(pdf: pd.DataFrame) -> pd.DataFrame:
-        from collections import deque
+    from collections import deque
 
-        pdf = pdf.sort_values(["at", "is_poll", "item"], kind="stable")
+    def machine():
         held: deque = deque()
-        out = []
-        for is_poll, item, at, q in zip(pdf["is_poll"], pdf["item"], pdf["at"], pdf["queue"], strict=True):
-            if is_poll:
-                if held:
-                    out.append((q, held.popleft(), at))
-            else:
-                if len(held) >= capacity:
-                    out.append((q, held.popleft(), None))
-                held.append(item)
-        out += [(q, i, -1) for i in held]  # still there at the end
-        return pd.DataFrame({"queue": [o[0] for o in out], "item": [o[1] for o in out], "poll": pd.array([o[2] for o in out], "Int64")})
+        queue = None
+
+        def step(rows):
+            nonlocal queue
+            items, out = [], []
+            if rows is None:
+                items, out = list(held), [-1] * len(held)
+                return {"queue": [queue] * len(items), "item": items, "poll": out}
+            queue = rows["queue"][0]
+            for poll, item, at in zip(rows["is_poll"], rows["item"], rows["at"], strict=True):
+                if poll:
+                    if held:
+                        items.append(held.popleft())
+                        out.append(at)
+                else:
+                    if len(held) >= capacity:
+                        items.append(held.popleft())
+                        out.append(None)
+                    held.append(item)
+            return {"queue": [queue] * len(items), "item": items, "poll": out}
+
+        return step
 
     both = arrivals.select("queue", "item", "at", F.lit(False).alias("is_poll")).unionByName(polls.select("queue", F.lit(-1).cast("long").alias("item"), "at", F.lit(True).alias("is_poll")))
-    return both.groupBy("queue").applyInPandas(play, "queue int, item long, poll long")
+    return streamed(both, "queue", ["at", "is_poll", "item"], machine, "queue int, item long, poll long")
 
 
 def stamp_join(frames: DataFrame, stamps: DataFrame, within: int = 64) -> DataFrame:

@@ -1,13 +1,15 @@
 """Sampling of packet streams. Order is always that of seq, never of pts.
 
-F-01 F-02 F-03 S-07 S-09 J-03 T-13: one window per stream; a stream's packets are ordered once for all rules.
+F-01 F-02 F-03 S-07 S-09 J-03 T-13: a stream's packets are numbered once for all rules, in two levels (`ordered`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 
 def with_overrides(packets: DataFrame, streams: DataFrame, skip: int = 1, decode: str = "all") -> DataFrame:
     """Adds `skip` and `decode` of each packet's stream; a null override inherits the pipeline's value. streams is a declared list, so it is broadcast."""
@@ -20,9 +22,12 @@ def with_overrides(packets: DataFrame, streams: DataFrame, skip: int = 1, decode
 
 
 def decoded(packets: DataFrame, key_only: Column | bool = False) -> DataFrame:
-    """Packets that are decoded, with frame_no: the 1-based count per stream. Key-only streams drop other packets before the count."""
+    """Packets that are decoded, with frame_no: the 1-based count per stream. Key-only streams drop other packets before the count.
+
+    Ranges of seq are counted first, so a stream's packets are numbered by many tasks.
+    """
     only = key_only if isinstance(key_only, Column) else F.lit(key_only)
-    return packets.where(~only | F.col("keyframe")).withColumn("frame_no", F.row_number().over(Window.partitionBy("stream_id").orderBy("seq")))
+    return numbered(packets.where(~only | F.col("keyframe")), ["stream_id"], "seq", "frame_no").withColumn("frame_no", F.col("frame_no").cast("int"))
 
 
 def skip_sample(frames: DataFrame, skip: Column | int) -> DataFrame:

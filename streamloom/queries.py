@@ -196,7 +196,7 @@ s AS (SELECT z.stream_id, z.frame_no, z.zone, coalesce(inside, 0) AS inside FROM
 t AS (SELECT *, inside > 0 AS occ, coalesce(lag(inside > 0) OVER w, false) AS before, sum(inside) OVER w AS total FROM s WINDOW w AS (PARTITION BY stream_id, zone ORDER BY frame_no))
 SELECT stream_id, zone, frame_no, CASE WHEN occ THEN 'ENTER' ELSE 'LEAVE' END AS event, CAST(total AS BIGINT) AS total FROM t WHERE occ <> before""")
 def zone_enter_leave(spark, sf):
-    return consumers.zone_events(X.frames(spark, sf), consumers.zone_hits(X.detections(spark, sf), zones(spark)), zones(spark))
+    return consumers.zone_events(X.frames(spark, sf), consumers.zone_hits(X.detections(spark, sf), zones(spark)))
 
 
 # ---- heads (P-06..P-08 P-12..P-17 P-23 W-11) --------------------------------------------------------------------------
@@ -385,21 +385,13 @@ def reid_top1(spark, sf):
     return consumers.cross_stream_matches(v, gallery=20, least=0.3, bucket=100)
 
 
-@query(f"""WITH RECURSIVE {RES}, s AS (SELECT stream_id, frame_no, ms_take_to_done / greatest(batch_size, 1) AS v FROM res WHERE frame_no <= 200),
-e AS (SELECT stream_id, frame_no, v AS m FROM s WHERE frame_no = 1 UNION ALL SELECT s.stream_id, s.frame_no, CASE WHEN e.m = 0 THEN s.v ELSE e.m * 0.95 + s.v * 0.05 END FROM e JOIN s ON s.stream_id = e.stream_id AND s.frame_no = e.frame_no + 1)
-SELECT stream_id, round(arg_max(m, frame_no), 6) AS ema FROM e GROUP BY stream_id""")
+@query(f"""WITH {RES}, s AS (SELECT stream_id, frame_no, ms_take_to_done / greatest(batch_size, 1) AS v FROM res),
+l AS (SELECT stream_id, max(frame_no) AS last, min(frame_no) FILTER (WHERE v > 0) AS seed FROM s GROUP BY stream_id)
+SELECT stream_id, round(sum(v * CASE WHEN frame_no = seed THEN 1 ELSE 0.05::DOUBLE END * pow(0.95::DOUBLE, last - frame_no)), 6) AS ema FROM s JOIN l USING (stream_id) WHERE frame_no >= seed GROUP BY stream_id""")
 def ema_gpu_ms(spark, sf):
-    v = X.results(spark, sf).where("frame_no <= 200").withColumn("v", F.col("ms_take_to_done") / F.greatest("batch_size", F.lit(1)))
-    g = v.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("frame_no", "v"))).alias("a"))
-    return g.select("stream_id", F.round(consumers.ema(F.transform("a", lambda s: s["v"])), 6).alias("ema"))
-
-
-@query()
-def ema_gpu_ms_whole(spark, sf):
-    """ema_gpu_ms of whole streams, too long for recursive SQL; tests hold it against a mirror."""
+    """Of whole streams; tests hold it against the fold step by step too."""
     v = X.results(spark, sf).withColumn("v", F.col("ms_take_to_done") / F.greatest("batch_size", F.lit(1)))
-    g = v.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("frame_no", "v"))).alias("a"))
-    return g.select("stream_id", F.round(consumers.ema(F.transform("a", lambda s: s["v"])), 6).alias("ema"))
+    return consumers.last_emas(v.select("stream_id", "frame_no", "v"), ["stream_id"], "frame_no", "v").withColumn("ema", F.round("ema", 6))
 
 
 @query(f"""WITH {PK}, s AS (SELECT stream_id AS key, seq // 500 AS generation, pts_us / 1e6 AS t, seq * 3 AS value FROM packets)
@@ -447,19 +439,12 @@ def snapshot_since(spark, sf):
     return retention.since_pts(retention.since_seq(X.packets(spark, sf), 300), 1_704_500_000_000_000).select("stream_id", "seq")
 
 
-@query(f"""WITH RECURSIVE {PK}, s AS (SELECT stream_id, seq, CASE WHEN seq % 40 < 30 THEN (seq % 40) * 33000 ELSE 5000 END AS pts_us FROM packets WHERE seq <= 300),
-f AS (SELECT stream_id, seq, pts_us, 0::BIGINT AS off, pts_us::BIGINT AS last, 33000::BIGINT AS delta FROM s WHERE seq = 1 UNION ALL
-SELECT s.stream_id, s.seq, s.pts_us, CASE WHEN s.pts_us + f.off <= f.last THEN f.last + f.delta - s.pts_us ELSE f.off END, CASE WHEN s.pts_us + f.off <= f.last THEN f.last + f.delta ELSE s.pts_us + f.off END,
-CASE WHEN s.pts_us + f.off <= f.last THEN f.delta ELSE s.pts_us + f.off - f.last END FROM f JOIN s ON s.stream_id = f.stream_id AND s.seq = f.seq + 1)
-SELECT stream_id, seq, CAST(pts_us AS BIGINT) AS pts_us, last AS out_pts_us FROM f""")
+@query(f"""WITH {PK}, s AS (SELECT stream_id, seq, CAST(CASE WHEN seq % 40 < 30 THEN (seq % 40) * 33000 ELSE 5000 END AS BIGINT) AS pts_us FROM packets),
+d AS (SELECT *, pts_us - lag(pts_us) OVER w AS d, first_value(pts_us) OVER w AS p0 FROM s WINDOW w AS (PARTITION BY stream_id ORDER BY seq)),
+k AS (SELECT *, CASE WHEN d IS NULL THEN 0 ELSE coalesce(last_value(CASE WHEN d > 0 THEN d END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY seq), 33000) END AS step FROM d)
+SELECT stream_id, seq, pts_us, CAST(p0 + sum(step) OVER (PARTITION BY stream_id ORDER BY seq) AS BIGINT) AS out_pts_us FROM k""")
 def pts_rebase(spark, sf):
-    p = X.packets(spark, sf).where("seq <= 300").withColumn("pts_us", F.expr("case when seq % 40 < 30 then (seq % 40) * 33000 else 5000 end").cast("long"))
-    return retention.relayed(p)
-
-
-@query()
-def pts_rebase_whole(spark, sf):
-    """pts_rebase of whole streams, too long for recursive SQL; tests hold it against a mirror."""
+    """Of whole streams; tests hold it against the clock step by step too."""
     return retention.relayed(X.packets(spark, sf).withColumn("pts_us", F.expr("case when seq % 40 < 30 then (seq % 40) * 33000 else 5000 end").cast("long")))
 
 
@@ -616,7 +601,7 @@ def same_rate_groups(spark, sf):
 
 @query(f"WITH {CE} SELECT version, list(nvdec_pct ORDER BY nvdec_pct)[count(*) // 2 + 1] AS nvdec, list(sm_pct ORDER BY sm_pct)[count(*) // 2 + 1] AS sm, max(vram_mb) AS vram FROM cells GROUP BY version")
 def utilisation_medians(spark, sf):
-    return X.cells(spark, sf).groupBy("version").agg(latency.upper_median(F.col("nvdec_pct")).alias("nvdec"), latency.upper_median(F.col("sm_pct")).alias("sm"), F.max("vram_mb").alias("vram"))
+    return X.cells(spark, sf).groupBy("version").agg(latency.upper_median("nvdec_pct").alias("nvdec"), latency.upper_median("sm_pct").alias("sm"), F.max("vram_mb").alias("vram"))
 
 
 @query(f"WITH {CE} SELECT version, round(inf_rate, 2) AS rate, coalesce(max(N) FILTER (WHERE hold_pct >= 95), 0) AS held_n, min(N) AS tested_n FROM cells GROUP BY ALL")
