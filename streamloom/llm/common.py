@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..materialise import checkpoint_dir, cut, remove
+
+__all__ = ["GAP", "WORD", "checkpoint_dir", "cut", "fresh", "n_words", "remove", "scan_parts", "table", "utf8", "words"]
+
 #: A word is a maximal run without ASCII white space (fixed value of the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -17,19 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="streamloom-"))
-    return sc.getCheckpointDir()
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}
@@ -38,12 +27,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that later actions read it and a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def words(text: Column) -> Column:
     """Array of words; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

@@ -45,15 +45,46 @@ def test_buckets_do_not_change_the_mix(spark):
     assert few == many
 
 
-def test_range_sorted_and_whole(spark):
+def test_range_sorted(spark):
     docs = documents(spark, [(i, "w " * (1 + i % 9), "en", "ab"[i % 2]) for i in range(200)])
     times = [r.finish_time for r in mixing.mix(docs).collect()]
     assert times == sorted(times)
-    rows = mixing.mix(docs, whole=True).collect()
-    assert all(r.taken % r.size == 0 for r in rows)
+
+
+def brute_whole(docs, epochs=2):
+    """Servings in order of finish time, one after another, until the budget is spent."""
+    rows = mixing.queued(docs).collect()
+    budget = sum({r.source: r.target for r in rows}.values())
+    served = sorted(((r.begin + e * r.source_size + r.size) / r.target, (r.source is not None, r.source or ""), r.begin + e * r.source_size, r.doc_id, r.size) for r in rows for e in range(epochs) if r.size)
+    out, words = [], 0
+    for *_, doc_id, size in served:
+        if 2 * words + size > 2 * budget:
+            break
+        out.append(doc_id)
+        words += size
+    return sorted(out), words, budget
+
+
+def test_whole_servings_in_order_up_to_the_budget(spark):
+    docs = documents(spark, [(i, "w " * (i * 7 % 61), "en", None if i % 7 == 0 else "abcd"[i % 4]) for i in range(500)])
+    want, words, budget = brute_whole(docs)
+    for rows in (7, 20_000):
+        got = mixing.whole_servings(docs, range_rows=rows).orderBy("place").collect()
+        assert sorted(r.doc_id for r in got) == want and sum(r.size for r in got) == words and abs(words - budget) <= 60
+        assert [r.finish_time for r in got] == sorted(r.finish_time for r in got)
     mixed = mixing.mixed_documents(docs)
-    assert mixed.columns == docs.columns
-    assert mixed.count() == sum(r.taken // r.size for r in rows)
+    assert mixed.columns == docs.columns and sorted(r.doc_id for r in mixed.collect()) == want
+    # Each source is near its target: within a document of its own.
+    rows = mixing.queued(docs).collect()
+    size = {r.doc_id: (r.source, r.size) for r in rows}
+    for source, target in {r.source: r.target for r in rows}.items():
+        assert abs(sum(size[i][1] for i in want if size[i][0] == source) - target) <= 2 * 60
+
+
+def test_null_ids_are_spread(spark):
+    docs = documents(spark, [(None, f"w {i}", "en", "a") for i in range(400)])
+    begins = sorted(r.begin for r in mixing.queued(docs, bucket_rows=10).collect())
+    assert begins == list(range(0, 800, 2)) and sum(r.taken for r in mixing.mix(docs, bucket_rows=10).collect()) == 1200
 
 
 def test_empty(none):
