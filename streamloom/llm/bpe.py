@@ -251,7 +251,7 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 back.append(hashlib.sha256(bpe.decode_packed(packed)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=[x.split()[0] for x in DIGESTS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DIGESTS)
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").mapInArrow(run, DIGESTS)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, column: str = "token_ids") -> DataFrame:

@@ -508,7 +508,7 @@ def link_classes(docs: DataFrame, words: int = WORDS, part_bytes: int = PART_BYT
     """Rows (doc_id, n_shingles, component_id), one per row of docs. links: also n_links, with how many other rows it links."""
     spark = docs.sparkSession
     parts = min(1 << 15, scan_parts(docs, part_bytes, least=16))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    source = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text"))
     emitted = source.mapInArrow(_emit(parts, words, hot_share), PACKED)
     # Markers of frequent shingles (kind 3) go with their part's rows (kind 0).
     keyed = emitted.select(F.when(F.col("kind") == 3, 0).otherwise(F.col("kind")).alias("kind"), "key", "payload", F.col("kind").alias("sub"))

@@ -7,7 +7,7 @@ into probabilities.
 
 Scale: each text is read once; its statistics (about 100 bytes) are checkpointed, and fitting and scoring use those. The
 fit takes a sample of labelled rows of at most about SAMPLE_ROWS (a rate by a hash of doc_id), so the broadcast of sampled
-labels, the partial sums and the calibration rows have a fixed bound. Scoring is one pass without a shuffle.
+labels, the partial sums and the calibration rows have a fixed bound; a repeated doc_id counts once. Scoring is one pass without a shuffle.
 
 Never an input of a score: labels, lang, source, doc_id.
 
@@ -151,7 +151,8 @@ class QualityModel:
 def fit(stats: DataFrame, labels: DataFrame, column: str = "quality", seed: int = 7) -> QualityModel | float:
     """A model from a bounded sample, or a constant score."""
     sample = sampled_labels(labels, column, FOLDS, HELD_OUT, SAMPLE_ROWS, seed)
-    rows = stats.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "x", F.col("y"))
+    rows = stats.join(F.broadcast(sample), F.col("doc_id").cast("string") == F.col("label_id").cast("string"))
+    rows = rows.groupBy(F.col("label_id").alias("doc_id")).agg(F.min("x").alias("x"), F.max("y").alias("y"))  # one row of a repeated doc_id
     part = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(4)) == 0
     rows = cut(rows.select("x", "y", part.alias("calibrate")).repartition(FIT_PARTITIONS))
     sums = _partials(rows, lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(0), (x * x).sum(0)]))

@@ -8,8 +8,9 @@ distinct words of a batch once and the responses are gathered and added along th
 The language is told from the text alone, by frequent words; per language a threshold is set on rows that the training did
 not see, and logits are shifted so that it becomes the score of THRESHOLD.
 
-Scale: training takes a sample of at most about SAMPLE_ROWS labelled rows (whole texts, as 8 bytes a word), on the driver;
-the model is a table of fixed size (about 13 MB) that is broadcast. Scoring is one pass without a shuffle.
+Scale: training takes a sample of at most about SAMPLE_ROWS labelled rows and SAMPLE_WORDS words (in the order of a hash of doc_id, one row of
+a doc_id); words are hashed where the texts are, and only hashes (8 bytes a word) come to the driver, a partition at a time. The
+model is a table of fixed size (about 13 MB) that is broadcast. Scoring is one pass without a shuffle; a long text is scored in blocks.
 
 Never an input of a score: labels, lang, source, doc_id.
 
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from .common import utf8
 from .quality_model import fold, sampled_labels
 
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS, SAMPLE_WORDS = 6_000, 6_000_000
+#: One in so many sampled rows sets thresholds; a language's own threshold counts as much as the common one with so many rows of its rarer class.
+CALIBRATE, OWN_ROWS = 4, 15
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 ROWS, PREFIX_ROWS, DIM = 1 << 18, 1 << 14, 12
@@ -79,20 +82,25 @@ def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, np.concatenate(ids) if ids else np.empty(0, np.int32), np.asarray(ends, np.int64)
 
 
-def language(keys: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Number in LANGUAGES of each text: that of most frequent words, if any."""
+def frequent_hits(keys: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many frequent words of each language each text has."""
     table = np.zeros((len(keys), len(FREQUENT)), np.int32)
     for j, known in enumerate(_FREQUENT_KEYS.values()):
         table[:, j] = np.isin(keys[:, 0], np.fromiter(known, np.uint32, len(known)))
-    begins = np.concatenate([[0], ends[:-1]])
-    out = np.full(len(ends), len(FREQUENT))
-    if len(ids):
-        # The text's hits by language, from running sums.
-        sums = np.concatenate([np.zeros((1, table.shape[1]), np.int64), np.cumsum(table[ids], 0)])
-        hits = sums[ends] - sums[begins]
-        some = hits.max(1) > 0
-        out[some] = hits[some].argmax(1)
-    return out
+    if not len(ids):
+        return np.zeros((len(ends), len(FREQUENT)), np.int64)
+    # From running sums.
+    sums = np.concatenate([np.zeros((1, table.shape[1]), np.int64), np.cumsum(table[ids], 0)])
+    return sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
+
+
+def told(hits: np.ndarray) -> np.ndarray:
+    return np.where(hits.max(1) > 0, hits.argmax(1), len(FREQUENT))
+
+
+def language(keys: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Number in LANGUAGES of each text: that of most frequent words, if any."""
+    return told(frequent_hits(keys, ids, ends))
 
 
 class Cnn:
@@ -223,12 +231,28 @@ class ToxicityModel:
                 size += len(texts[to])
                 to += 1
             keys, ids, ends = numbered(texts[at:to])
-            logit = self.net.logits(keys, ids, ends) - self.cuts[language(keys, ids, ends)]
+            if to == at + 1 and len(ids) > WORDS_AT_ONCE:
+                logit = self._long(keys, ids)
+            else:
+                logit = self.net.logits(keys, ids, ends) - self.cuts[language(keys, ids, ends)]
             out.append(1 / (1 + np.exp(-np.clip(self.slope * logit + math.log(THRESHOLD / (1 - THRESHOLD)), -30, 30))))
             at = to
         return np.concatenate(out).astype(np.float64) if out else np.empty(0)
 
 
+    def _long(self, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """One text in blocks that overlap by the widest filter: maxima of the blocks' maxima, sums of their hits of frequent words."""
+        width, best, hits = max(k for k, _ in FILTERS), None, 0
+        for a in range(0, len(ids), WORDS_AT_ONCE):
+            part = ids[a : a + WORDS_AT_ONCE + width - 1]
+            used, local = np.unique(part, return_inverse=True)
+            values = np.hstack(self.net.pooled(keys[used], local, np.asarray([len(local)])))
+            best = values if best is None else np.maximum(best, values)
+            own = len(ids[a : a + WORDS_AT_ONCE])
+            hits = hits + frequent_hits(keys[used], local[:own], np.asarray([own]))
+        return best @ self.net.out + self.net.out_bias - self.cuts[told(hits)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", seed: int = 13) -> ToxicityModel | float:
     """Trains on three quarters of the sample and sets the thresholds on the rest."""
     sample = sampled_labels(labels, column, FOLDS, HELD_OUT, SAMPLE_ROWS, seed)
@@ -241,26 +265,34 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", seed: int = 1
                 keys.append(k[i].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(keys, pa.binary())], names=["doc_id", "y", "k"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
-    got = rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, k binary").orderBy("doc_id").collect()
-    if not got:
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id").cast("string") == F.col("label_id").cast("string")).select(F.col("label_id").cast("string").alias("doc_id"), "y", "text")
+    hashed = rows.mapInArrow(run, "doc_id string, y int, k binary").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("k").alias("k"))
+    y, doc, held, ends, total = [], [], [], [], 0
+    for r in hashed.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").toLocalIterator():
+        n = len(r.k) // 8
+        if total and total + n > SAMPLE_WORDS:
+            continue
+        y.append(r.y)
+        doc.append(r.doc_id)
+        held.append(np.frombuffer(r.k, "<u4"))
+        total += n
+        ends.append(total)
+    if not y:
         return 0.0
-    y = np.asarray([r.y for r in got], np.int64)
+    y, ends = np.asarray(y, np.int64), np.asarray(ends, np.int64)
     if y.min() == y.max():
         return float(y[0])
-    flat = np.frombuffer(b"".join(r.k for r in got), "<u4").reshape(-1, 2)
-    ends = np.cumsum([len(r.k) // 8 for r in got])
-    doc = np.asarray([r.doc_id for r in got])
-    del got  # before the sort below takes its own copies
+    flat = np.concatenate(held).reshape(-1, 2)
+    del held  # before the sort below takes its own copies
     packed = flat[:, 0].astype(np.uint64) << np.uint64(32) | flat[:, 1]
     distinct, ids = np.unique(packed, return_inverse=True)
     del packed, flat
     keys = np.stack([distinct >> np.uint64(32), distinct & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
     ids = ids.astype(np.int32)
     begins = np.concatenate([[0], ends[:-1]])
-    calibrate = np.asarray([zlib.crc32(f"{seed}:{d}".encode()) % 4 == 0 for d in doc])
-    if len({*y[calibrate].tolist()}) < 2 or len({*y[~calibrate].tolist()}) < 2 or len(y) < 1000:
-        calibrate[:] = False  # small samples: thresholds on the training rows
+    calibrate = np.asarray([zlib.crc32(f"{seed}:{d}".encode()) % CALIBRATE == 0 for d in doc])
+    if len({*y[calibrate].tolist()}) < 2 or len({*y[~calibrate].tolist()}) < 2:
+        calibrate[:] = False  # a class is missing on one side: one set for both
 
     def part(which):
         chosen = np.flatnonzero(which)
@@ -281,8 +313,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", seed: int = 1
     cuts = np.full(len(LANGUAGES), overall, np.float32)
     for j in range(len(LANGUAGES)):
         own = lang == j
-        if yy[own].sum() >= 15 and (1 - yy[own]).sum() >= 15:
-            cuts[j] = threshold(logit[own], yy[own])
+        rows_own = min(yy[own].sum(), (1 - yy[own]).sum())
+        if rows_own:  # the more rows a language has, the more its own threshold counts
+            cuts[j] += (threshold(logit[own], yy[own]) - overall) * rows_own / (rows_own + OWN_ROWS)
     spread = float(np.std(logit)) or 1.0
     return ToxicityModel(net, cuts, 2.0 / spread)
 

@@ -77,3 +77,79 @@ def test_threshold_and_language():
     assert 1 < toxicity.threshold(np.asarray([3.0, 2, 1, 0]), np.asarray([1, 1, 0, 0])) < 2
     keys, ids, ends = toxicity.numbered([b"the cat and the dog", b"der Hund und die Katze", b"", "le chat et les chiens".encode(), b"qq"])
     assert [toxicity.LANGUAGES[i] for i in toxicity.language(keys, ids, ends)] == ["en", "de", "other", "fr", "other"]
+
+
+def test_long_text_in_blocks(monkeypatch):
+    net = toxicity.Cnn(3)
+    net.words *= 20
+    model = toxicity.ToxicityModel(net, np.asarray([0.1, 0.2, 0.3, 0.4, 0.5], np.float32), 1.0)
+    rng = random.Random(2)
+    text = " ".join(rng.choice(GOOD + ["der", "une", "zq"]) + rng.choice(("", "x")) for _ in range(1000)).encode()
+    whole = model.score([text])
+    monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", 37)
+    assert np.allclose(model.score([text]), whole, atol=1e-5)
+
+
+def test_gradients_by_finite_differences(monkeypatch):
+    """One training step moves each weight against the slope of the loss."""
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 2**32, (30, 2)).astype(np.uint32)
+    ids, ends, y = rng.integers(0, 30, 60).astype(np.int32), np.asarray([15, 30, 45, 60]), np.asarray([1, 0, 1, 0])
+    start = toxicity.Cnn(11)
+
+    def loss(net):
+        z = net.logits(keys, ids, ends)
+        return np.mean(np.log1p(np.exp(np.where(y == 1, -z, z))))
+
+    for name, spots in (("out", [0, 7, 17]), ("w", [(1, 0, 3, 2), (2, 1, 5, 1), (3, 2, 0, 0)])):
+        monkeypatch.setattr(toxicity, "EPOCHS", 1)
+        monkeypatch.setattr(toxicity, "STEPS", 1)
+        monkeypatch.setattr(toxicity, "RATE", 1e-3)
+        moved = toxicity.train(keys, ids, ends, y)
+        for spot in spots:
+            eps, slopes = 1e-3, []
+            for sign in (1, -1):
+                net = toxicity.Cnn(11)
+                if name == "out":
+                    net.out[spot] += sign * eps
+                else:
+                    net.w[spot[0]][spot[1:]] += sign * eps
+                slopes.append(loss(net))
+            slope = (slopes[0] - slopes[1]) / (2 * eps)
+            change = moved.out[spot] - start.out[spot] if name == "out" else moved.w[spot[0]][spot[1:]] - start.w[spot[0]][spot[1:]]
+            assert abs(slope) < 1e-3 or np.sign(change) == -np.sign(slope)
+
+
+def test_ridge_by_direct_solve(spark):
+    """The partition-summed normal equations give what a direct solve over all rows gives."""
+    rows, labels = corpus(400)
+    docs = documents(spark, rows).repartition(7)
+    stats = quality_model.cut(quality_model.with_statistics(docs))
+    l = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality_model.fit(stats, l)
+    sample = {r.label_id: r.y for r in quality_model.sampled_labels(l, "quality", 5, 0, quality_model.SAMPLE_ROWS, 7).collect()}
+    from pyspark.sql import functions as F
+
+    fitted = stats.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(4)) != 0).collect()
+    x = np.asarray([np.frombuffer(r.x, "<f4") for r in fitted if r.doc_id in sample], float)
+    y = np.asarray([sample[r.doc_id] for r in fitted if r.doc_id in sample], float)
+    z = model.features(x)
+    k = z.shape[1]
+    # The same ridge problem as least squares with rows of their own for the penalty.
+    penalty = np.sqrt(quality_model.RIDGE * len(y) / k)
+    beta = np.linalg.lstsq(np.vstack([z, penalty * np.eye(k)]), np.concatenate([y, np.zeros(k)]), rcond=None)[0]
+    assert np.allclose(z @ model.beta, z @ beta, atol=1e-4)
+
+
+def test_repeated_and_text_ids(spark):
+    """A labelled doc_id that is repeated counts once; ids may be texts."""
+    rows, labels = corpus(200)
+    many = rows + [rows[i] for i in range(20)] * 10
+    l = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    a = {r.doc_id: r.score for r in quality_model.classify(documents(spark, rows), l).collect()}
+    b = {r.doc_id: r.score for r in quality_model.classify(documents(spark, many), l).collect()}
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-9 for i in a)
+    from pyspark.sql import functions as F
+
+    named = documents(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert toxicity.classify(named, l.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))).count() == 200
