@@ -74,6 +74,9 @@ def test_warc_files(spark, tmp_path):
     (tmp_path / "d.warc").write_bytes(one[:-30])
     (tmp_path / "e.warc").write_bytes(one.replace(b"<p>x", b"<p>z"))
     got = warc.derivatives(warc.read_warc(spark, str(tmp_path)), keep="path").collect()
+    errors = {r.path[-6:]: r.error for r in got if r.kind == "error"}
+    assert errors == {"a.warc": "no WARC head", "d.warc": "the block is cut short"}
+    got = [r for r in got if r.kind != "error"]
     assert sorted((r.path[-6:], r.kind) for r in got) == sorted([("a.warc", "metadata"), ("a.warc", "conversion")] * 2 + [("arc.gz", "metadata"), ("arc.gz", "conversion"), ("e.warc", "metadata"), ("e.warc", "conversion")])
     assert {r.digest_ok for r in got if r.path.endswith("e.warc")} == {False}
 
@@ -137,3 +140,32 @@ def test_warc_query_returns_the_records(spark, sf):
     for r in QUERIES["op7_warc_derivatives"](spark, sf).collect():
         (_, block), = warc.records(bytes(r.record))
         assert warc.sha1(block) == r.block_digest and len(block) == r.content_length
+
+
+def test_warc_codings_ids_digests_and_broken_records(spark):
+    import gzip
+    import hashlib
+
+    def made(body, head="", ident=True, digest=None):
+        headers = [("WARC-Type", "response"), ("WARC-Target-URI", "http://a"), ("WARC-Date", warc.DATE)]
+        headers += [("WARC-Record-ID", "<urn:uuid:1>")] * ident + ([("WARC-Payload-Digest", digest)] if digest else [])
+        return warc.record(headers, b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n" + head.encode() + b"\r\n" + body)
+
+    page = b"<p>one if a < b and c > d</p>"
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(p), p) for p in (page[:7], page[7:])) + b"0\r\n\r\n"
+    data = [
+        made(gzip.compress(page), "Content-Encoding: gzip\r\n"), made(chunked, "Transfer-Encoding: chunked\r\n"), made(page, "Content-Encoding: gzip\r\n"),
+        made(page, digest="sha1:" + hashlib.sha1(page).hexdigest()), made(page, digest="sha256:" + "0" * 64), made(page, digest="crc:1"),
+        made(page, ident=False) * 2 + b"WARC/1.1\r\nContent-Length: x\r\n\r\nrest\r\n\r\n" + made(page, ident=False), gzip.compress(made(page))[:-20],
+    ]
+    df = spark.createDataFrame(list(enumerate(data)), "kind int, record binary")
+    got = warc.derivatives(df, keep="kind").collect()
+    text = {}
+    for r in got:
+        if r.kind == "conversion":
+            text.setdefault(r.source_kind, []).append(next(warc.records(bytes(r.record)))[1].decode())
+    assert all(t == "one if a < b and c > d" for ts in text.values() for t in ts) and len(text[6]) == 3
+    assert [{r.digest_ok for r in got if r.source_kind == k} for k in (0, 3, 4, 5)] == [{None}, {True}, {False}, {None}]
+    ids = [r.record_id for r in got if r.source_kind == 6 and r.kind == "conversion"]
+    assert len(set(ids)) == 3 and [r.error for r in got if r.source_kind == 6 and r.kind == "error"] == ["no Content-Length"]
+    assert [r.error for r in got if r.source_kind == 7 and r.kind == "error"][-1] == "the gzip stream is broken"
