@@ -2,19 +2,22 @@
 
 `mux` stores bytes as fixed-size samples of an audio track with 8-bit PCM (sample entry "raw "), so one byte is one
 sample unit and the stored form is lossless. `probe` walks the nested boxes of any such container, decodes the sample
-tables (stts, stsz, stsc, stco or co64, stss) and gives codec, duration and the byte ranges of key frames; it reads
-no payload. `read_payload` follows the sample table to the stored bytes.
+tables (stts, stsz or stz2, stsc, stco or co64, stss) and the runs of movie fragments (trex, tfhd, trun) of every track, and gives
+codec, duration and the byte ranges of key frames; it reads no payload. `read_payload` follows the tables to the stored bytes.
 
 Scale: one pass by Arrow batches, a document at a time; nothing is shuffled or kept between documents.
 
 Defined results: null is the empty text. A payload is never empty (a positive multiple of 192). What is not a
 container, is cut short or has inconsistent tables gives a row with `error` set and nulls elsewhere. Repeated rows and
-equal texts give equal values; extra columns are not read.
+equal texts give equal values; extra columns are kept by `media_columns`, which puts `media_` before a name of its own that the
+table has already, and not read by `store_documents`; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -95,8 +98,8 @@ def mux(payload: bytes) -> bytes:
     return ftyp + box(b"mdat", payload) + moov
 
 
-def walk(data, begin: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, begin of the body, end) of every box, depth first. Bodies of other boxes than CONTAINERS are not read."""
+def walk(data, begin: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
+    """(path, begin of the box, begin of its body, end) of every box, depth first. Bodies of other boxes than CONTAINERS are not read."""
     end = len(data) if end is None else end
     while begin < end:
         if end - begin < 8:
@@ -112,7 +115,7 @@ def walk(data, begin: int = 0, end: int | None = None, path: tuple[bytes, ...] =
         if size < body - begin or begin + size > end:
             raise MediaError(f"box {kind!r} has a wrong size")
         here = (*path, kind)
-        yield here, body, begin + size
+        yield here, begin, body, begin + size
         if kind in CONTAINERS:
             if len(here) > 16:
                 raise MediaError("boxes are nested too deeply")
@@ -127,18 +130,85 @@ def _ints(data, at: int, end: int, n: int, code: str = "I") -> tuple[int, ...]:
     return struct.unpack_from(f">{n}{code}", data, at)
 
 
+def _optional(data, at: int, flags: int, fields) -> tuple[dict, int]:
+    """Values of the fields (bit, name, code) that flags say are there, and where they end."""
+    out = {}
+    for bit, name, code in fields:
+        if flags & bit:
+            out[name] = struct.unpack_from(f">{code}", data, at)[0]
+            at += struct.calcsize(f">{code}")
+    return out, at
+
+
+#: Optional fields of tfhd, of trun and of a sample in trun, with the bits that say so (fixed values of ISO/IEC 14496-12).
+TFHD = ((0x1, "base", "Q"), (0x2, "entry", "I"), (0x8, "duration", "I"), (0x10, "size", "I"), (0x20, "flags", "I"))
+TRUN = ((0x1, "offset", "i"), (0x4, "first_flags", "I"))
+TRUN_SAMPLE = ((0x100, "duration", "I"), (0x200, "size", "I"), (0x400, "flags", "I"), (0x800, "shift", "I"))
+BASE_IS_MOOF, NOT_SYNC = 0x20000, 0x10000
+
+
+def _compact_sizes(data, at: int, end: int) -> tuple[int, ...]:
+    """Sizes of stz2, of 4, 8 or 16 bits."""
+    bits, n = data[at + 7], _ints(data, at + 8, end, 1)[0]
+    if bits == 4:
+        pairs = _ints(data, at + 12, end, -(-n // 2), "B")
+        return tuple(x for p in pairs for x in (p >> 4, p & 15))[:n]
+    if bits not in (8, 16):
+        raise MediaError("sample sizes of an unknown width")
+    return _ints(data, at + 12, end, n, "B" if bits == 8 else "H")
+
+
+def _run(data, at: int, end: int, base: int, defaults: dict) -> tuple[int, list[int], int, list[int]]:
+    """(begin, sizes, duration, places of sync samples) of a trun box whose data begin at base if it does not say."""
+    head, n = _ints(data, at, end, 2)
+    flags = head & 0xFFFFFF
+    own, here = _optional(data, at + 8, flags, TRUN)
+    each = [(name, bit) for bit, name, _ in TRUN_SAMPLE if flags & bit]
+    table = _ints(data, here, end, n * len(each))
+    columns = {name: table[i :: len(each)] for i, (name, _) in enumerate(each)}
+    value = lambda name: columns.get(name) or [defaults.get(name, 0)] * n
+    sample_flags = list(value("flags"))
+    if n and "first_flags" in own:
+        sample_flags[0] = own["first_flags"]
+    return base + own.get("offset", 0), list(value("size")), sum(value("duration")), [i for i, f in enumerate(sample_flags) if not f & NOT_SYNC]
+
+
 def tracks(data) -> list[dict]:
-    """codec, handler, timescale, duration and the decoded tables of every track."""
+    """id, codec, handler, timescale, duration, the decoded tables and the fragments' runs of every track."""
     found: list[dict] = []
+    trex: dict[int, dict] = {}
+    moof, follows, traf, here = 0, None, {}, 0
     try:
-        for path, at, end in walk(data):
+        for path, begin, at, end in walk(data):
             kind = path[-1]
             if kind == b"trak":
-                found.append({})
+                found.append({"runs_of_fragments": []})
+            elif kind == b"moof":
+                moof, follows = begin, None
+            elif kind == b"trex":
+                number, _, duration, size, flags = _ints(data, at + 4, end, 5)
+                trex[number] = {"duration": duration, "size": size, "flags": flags}
+            elif kind == b"tfhd":
+                head, number = _ints(data, at, end, 2)
+                own, _ = _optional(data, at + 8, head & 0xFFFFFF, TFHD)
+                traf = {"track": number, **trex.get(number, {}), **own}
+                # Without a base of its own the first traf begins at its moof, another one where the data before it end.
+                here = own.get("base", moof if head & BASE_IS_MOOF or follows is None else follows)
+            elif kind == b"trun" and traf:
+                start, sizes, duration, keys = _run(data, at, end, here, traf)
+                here = follows = start + sum(sizes)
+                if here > len(data) or start < 0:
+                    raise MediaError("samples lie outside the file")
+                for t in found:
+                    if t.get("id") == traf["track"]:
+                        t["runs_of_fragments"].append((start, sizes, keys))
+                        t["fragment_duration"] = t.get("fragment_duration", 0) + duration
             if b"trak" not in path or kind == b"trak":
                 continue
             t = found[-1]
-            if kind == b"mdhd":
+            if kind == b"tkhd":
+                t["id"] = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
+            elif kind == b"mdhd":
                 version = data[at]
                 t["timescale"], t["duration"] = struct.unpack_from(">IQ", data, at + 20) if version == 1 else struct.unpack_from(">II", data, at + 12)
             elif kind == b"hdlr":
@@ -156,15 +226,25 @@ def tracks(data) -> list[dict]:
             elif kind == b"stsz":
                 same, n = _ints(data, at + 4, end, 2)
                 t["same"], t["n"], t["sizes"] = same, n, () if same else _ints(data, at + 12, end, n)
+            elif kind == b"stz2":
+                t["sizes"] = _compact_sizes(data, at, end)
+                t["same"], t["n"] = 0, len(t["sizes"])
             elif kind in (b"stco", b"co64"):
                 t["offsets"] = _ints(data, at + 8, end, _ints(data, at + 4, end, 1)[0], "I" if kind == b"stco" else "Q")
-    except struct.error as e:
+    except (struct.error, IndexError) as e:
         raise MediaError(str(e)) from e
     return found
 
 
+def _ends(track: dict) -> list[int]:
+    """Running sums of the sample sizes, for tables without one size for all."""
+    if "ends" not in track:
+        track["ends"] = [0, *itertools.accumulate(track["sizes"])]
+    return track["ends"]
+
+
 def sample_ranges(track: dict, total: int) -> list[tuple[int, int, int]]:
-    """(first sample, begin, end) of runs of samples that lie one after another, from stsc, stsz and the chunk offsets."""
+    """(first sample, begin, end) of runs of samples that lie one after another, from stsc, the sizes and the chunk offsets, then from fragments."""
     try:
         runs, offsets, n = track["runs"], track["offsets"], track["n"]
     except KeyError as e:
@@ -176,7 +256,7 @@ def sample_ranges(track: dict, total: int) -> list[tuple[int, int, int]]:
             raise MediaError("chunks are out of order")
         for chunk in range(first, until):
             take = min(per, n - sample)
-            size = take * track["same"] if track["same"] else sum(track["sizes"][sample : sample + take])
+            size = take * track["same"] if track["same"] else _ends(track)[sample + take] - _ends(track)[sample]
             begin = offsets[chunk - 1]
             if begin + size > total:
                 raise MediaError("samples lie outside the file")
@@ -185,14 +265,15 @@ def sample_ranges(track: dict, total: int) -> list[tuple[int, int, int]]:
             sample += take
     if sample != n:
         raise MediaError("the chunks hold fewer samples than the sizes")
+    for begin, sizes, _ in track["runs_of_fragments"]:
+        out.append((sample, begin, begin + sum(sizes)))
+        sample += len(sizes)
     return out
 
 
 def key_ranges(track: dict, total: int) -> list[tuple[int, int]]:
-    """Byte ranges of the sync samples; without stss every sample is one."""
-    import bisect
-
-    spans = sample_ranges(track, total)
+    """Byte ranges of the sync samples; without stss every sample of the tables is one."""
+    spans = [s for s in sample_ranges(track, total) if s[0] < track["n"]]
     starts, out = [s for s, _, _ in spans], []
     for k in track.get("keys", range(1, track["n"] + 1)):
         if not 1 <= k <= track["n"]:
@@ -201,8 +282,11 @@ def key_ranges(track: dict, total: int) -> list[tuple[int, int]]:
         if track["same"]:
             a, size = begin + (k - 1 - first) * track["same"], track["same"]
         else:
-            a, size = begin + sum(track["sizes"][first : k - 1]), track["sizes"][k - 1]
+            a, size = begin + _ends(track)[k - 1] - _ends(track)[first], track["sizes"][k - 1]
         out.append((a, a + size))
+    for begin, sizes, keys in track["runs_of_fragments"]:
+        ends = [begin, *itertools.accumulate(sizes, initial=begin)][1:]
+        out += [(ends[i], ends[i] + sizes[i]) for i in keys]
     return out
 
 
@@ -211,32 +295,47 @@ def read_payload(data, track: dict) -> bytes:
     return b"".join(view[a:b] for _, a, b in sample_ranges(track, len(data)))
 
 
+TRACK = ("track_id", "codec", "handler", "timescale", "duration", "n_samples", "key_ranges")
+
+
+def described(track: dict, total: int) -> dict:
+    samples = track.get("n", 0) + sum(len(sizes) for _, sizes, _ in track["runs_of_fragments"])
+    duration = (track.get("duration") or 0) or track.get("fragment_duration", 0)
+    return dict(zip(TRACK, (track.get("id"), track.get("codec"), track.get("handler"), track.get("timescale"), duration, samples, [{"begin": a, "end": b} for a, b in key_ranges(track, total)]), strict=True))
+
+
 def probe(data: bytes | None) -> dict:
-    """codec, handler, timescale, duration, n_samples, key_ranges of the first track, or error."""
+    """TRACK of the first video track, else of the first track; all tracks; or error."""
     try:
         if not data:
             raise MediaError("empty")
-        found = tracks(data)
+        found = [described(t, len(data)) for t in tracks(data)]
         if not found:
             raise MediaError("no track")
-        t = found[0]
-        return {"codec": t.get("codec"), "handler": t.get("handler"), "timescale": t.get("timescale"), "duration": t.get("duration"), "n_samples": t.get("n"), "key_ranges": [{"begin": a, "end": b} for a, b in key_ranges(t, len(data))], "error": None}
+        return next((t for t in found if t["handler"] == "vide"), found[0]) | {"tracks": found, "error": None}
     except MediaError as e:
-        return dict.fromkeys(("codec", "handler", "timescale", "duration", "n_samples", "key_ranges")) | {"error": str(e)}
+        return dict.fromkeys((*TRACK, "tracks")) | {"error": str(e)}
+
+
+_RANGES = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+_TRACK = [("track_id", pa.int64()), ("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("key_ranges", _RANGES)]
+_MEDIA = [*_TRACK, ("tracks", pa.list_(pa.struct(_TRACK))), ("error", pa.string())]
+_TRACK_SQL = {"track_id": "long", "codec": "string", "handler": "string", "timescale": "long", "duration": "long", "n_samples": "long", "key_ranges": "array<struct<begin:long,end:long>>"}
+_MEDIA_SQL = _TRACK_SQL | {"tracks": f"array<struct<{','.join(f'{n}:{t}' for n, t in _TRACK_SQL.items())}>>", "error": "string"}
 
 
 def media_columns(df: DataFrame, column: str = "content") -> DataFrame:
-    """df's id columns (all but `column`) with codec, duration and key-frame byte ranges of the containers in `column`."""
+    """df's columns (all but `column`) with what `probe` finds in the containers in `column`."""
     kept = [c for c in df.columns if c != column]
-    out = "codec string, handler string, timescale long, duration long, n_samples long, key_ranges array<struct<begin:long,end:long>>, error string"
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes if c != column), out]) if kept else out
+    taken = {c.lower() for c in kept}
+    names = [f"media_{n}" if n in taken else n for n, _ in _MEDIA]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes if c != column), *(f"`{n}` {t}" for n, t in zip(names, _MEDIA_SQL.values(), strict=True))])
 
     def run(batches):
         for b in batches:
-            rows = [probe(x) for x in b.column(column).to_pylist()]
-            found = pa.Table.from_pylist(rows, schema=pa.schema([("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("key_ranges", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("error", pa.string())])).combine_chunks()
+            found = pa.Table.from_pylist([probe(x) for x in b.column(column).to_pylist()], schema=pa.schema(_MEDIA)).combine_chunks()
             cols = [b.column(c) for c in kept] + [found.column(i).combine_chunks() for i in range(found.num_columns)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*kept, *found.column_names])
+            yield pa.RecordBatch.from_arrays(cols, names=[*kept, *names])
 
     return df.select(*kept, column).mapInArrow(run, schema)
 

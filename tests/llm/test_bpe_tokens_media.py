@@ -1,5 +1,6 @@
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -109,3 +110,41 @@ def test_media_probe(spark):
     rows = media.media_columns(spark.createDataFrame([(i, x) for i, x in enumerate([stored, *bad])], "id int, content binary")).orderBy("id").collect()
     assert rows[0].error is None and rows[0].duration == 192_000 and len(rows[0].key_ranges) == 16
     assert all(r.error or r.id == 6 for r in rows[1:])
+
+
+def entry(kind, n=1):
+    return media.box(b"stsd", struct.pack(">II", 0, 1), media.box(kind, bytes(6), struct.pack(">H", 1), bytes(70)))
+
+
+def track(number, handler, codec, *tables, duration=0):
+    return media.box(
+        b"trak",
+        media.full(b"tkhd", struct.pack(">IIIII", 0, 0, number, 0, duration), bytes(60)),
+        media.box(b"mdia", media.full(b"mdhd", struct.pack(">IIII", 0, 0, 1000, duration), bytes(4)), media.full(b"hdlr", bytes(4), handler, bytes(13)), media.box(b"minf", media.box(b"stbl", entry(codec), *tables))),
+    )
+
+
+def test_all_tracks_compact_sizes_and_fragments(spark):
+    """An audio track with 4-bit sizes before a video track whose samples are in fragments."""
+    ftyp, audio = media.box(b"ftyp", b"isom", bytes(4)), b"abbcccdd"
+    first = media.box(b"mdat", audio)
+    sizes = media.full(b"stz2", bytes((0, 0, 0, 4)), struct.pack(">I", 4), bytes((0x12, 0x32)))
+    a = track(1, b"soun", b"mp4a", sizes, media.full(b"stsc", struct.pack(">IIII", 1, 1, 3, 1)), media.full(b"stco", struct.pack(">III", 2, len(ftyp) + 8, len(ftyp) + 14)), duration=77)
+    none = [media.full(b"stsz", struct.pack(">II", 0, 0)), media.full(b"stsc", struct.pack(">I", 0)), media.full(b"stco", struct.pack(">I", 0))]
+    moov = media.box(b"moov", a, track(2, b"vide", b"avc1", *none), media.box(b"mvex", media.full(b"trex", struct.pack(">IIIII", 2, 1, 40, 5, 0x10000))))
+
+    def moof(offset):
+        one = media.full(b"trun", struct.pack(">IiI", 3, offset, 0), struct.pack(">III", 3, 4, 2), flags=0x205)
+        two = media.full(b"trun", struct.pack(">I", 2), flags=0)
+        return media.box(b"moof", media.full(b"mfhd", struct.pack(">I", 1)), media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 2), flags=0x20000), one, two))
+
+    size = len(moof(0))
+    data = ftyp + first + moov + moof(size + 8) + media.box(b"mdat", b"KKKnnnnppQQQQQRRRRR")
+    found = media.tracks(data)
+    assert media.read_payload(data, found[0]) == audio and media.read_payload(data, found[1]) == b"KKKnnnnppQQQQQRRRRR"
+    assert [data[x:y] for x, y in media.key_ranges(found[0], len(data))] == [b"a", b"bb", b"ccc", b"dd"]
+    assert [data[x:y] for x, y in media.key_ranges(found[1], len(data))] == [b"KKK"]
+    r = media.media_columns(spark.createDataFrame([(1, "mine", data)], "id int, codec string, content binary")).first()
+    assert (r.codec, r.media_codec, r.handler, r.duration, r.n_samples) == ("mine", "avc1", "vide", 200, 5)
+    assert [(t.track_id, t.codec, t.duration, t.n_samples) for t in r.tracks] == [(1, "mp4a", 77, 4), (2, "avc1", 200, 5)]
+    assert media.probe(data[:-3])["error"]
