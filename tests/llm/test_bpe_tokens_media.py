@@ -79,8 +79,15 @@ def test_scan_stitches_foreign_files(spark, tmp_path):
         if at is not None or end > begin:
             want.append((len(want), end - begin, begin, at is not None))
         begin = end + 1
-    got = token_counts.count_tokens(spark, str(tmp_path), eod=eod)
-    assert sorted((r.ordinal, r.n_tokens, r.begin, r.closed) for r in got.collect()) == want
+    for block_bytes in (64, 1 << 20):  # also ranges within a file
+        got = token_counts.count_tokens(spark, str(tmp_path), eod=eod, block_bytes=block_bytes)
+        assert sorted((r.ordinal, r.n_tokens, r.begin, r.closed) for r in got.collect()) == want
+
+
+def test_ids_that_do_not_fit_are_refused(edge, tmp_path):
+    for eod, width in ((5, 2), (70_000, 2), (50_256, 1)):
+        with pytest.raises(ValueError):
+            token_counts.write_token_files(edge, f"file://{tmp_path}/x", RANKS, P.PATTERN, eod=eod, width=width)
 
 
 def test_media_round_trip(edge, none):
