@@ -37,11 +37,59 @@ def test_html_edges(spark):
     assert html_text.extract(pages(spark, [])).count() == 0
 
 
-def test_tree_matching():
-    a, b = html_text.parse("<ul><li>1<li>2</ul><p>x"), html_text.parse("<ul><li>1<li>2<li>3</ul><div>d</div><p>y")
-    t = html_text.merge(html_text.to_template(a), html_text.to_template(b))
-    assert [(c[0], c[2]) for c in t[4]] == [("ul", 2), ("div", 1), ("p", 2)]
-    assert [c[2] for c in t[4][0][4]] == [2, 2] and t[4][2][3] is None
+def tree(spec):
+    """A tree from nested tuples (tag, children...), numbered in order."""
+    n = -1
+
+    def make(x):
+        nonlocal n
+        n += 1
+        own = [n]
+        return [x[0], 0, [make(c) for c in x[1:]], own]
+
+    return make(spec)
+
+
+def brute_matching(a, b):
+    """Largest matching by trying every set of ordered pairs of children."""
+    if a[0] != b[0]:
+        return 0
+
+    def best(xs, ys):
+        if not xs or not ys:
+            return 0
+        return max(best(xs[1:], ys), best(xs, ys[1:]), best(xs[1:], ys[1:]) + brute_matching(xs[0], ys[0]))
+
+    return 1 + best(a[2], b[2])
+
+
+def test_tree_matching_against_brute_force():
+    import random
+
+    rng = random.Random(4)
+
+    def grow(depth):
+        return (rng.choice("ab"), *(grow(depth - 1) for _ in range(rng.randrange(4) if depth else 0)))
+
+    for _ in range(150):
+        a, b = tree(("r", *grow(2)[1:])), tree(("r", *grow(2)[1:]))
+        size = html_text.matched(a, b, {})
+        assert size == brute_matching(a, b)
+        assert html_text.read(html_text.written(a)) == a
+        both = html_text.merge(a, b)
+        again = html_text.read(html_text.written(both))
+        # Each tree's nodes are found in the merged one, in parents that are found too, and matched nodes are one.
+        assert html_text.written(both).count("|") + 1 <= html_text.written(a).count("|") + html_text.written(b).count("|") + 2 - size
+        for t in (a, b):
+            slots = html_text.numbers_to_slots(t, again)
+            assert slots[0] == 0 and len(slots) == html_text.matched(t, again, {})
+
+
+def test_template_of_pages_with_more_blocks():
+    a, b = (html_text.page(html_text.parse(x)) for x in ("<ul><li>1<li>2</ul><p>x", "<ul><li>1<li>2<li>3</ul><div>d</div><p>y"))
+    assert a[0] == "root 0 0|ul 0 1|li 0 2|p 0 1" and b[0] == "root 0 0|ul 0 1|li 0 2|div 0 1|p 0 1"
+    both = html_text.read(html_text.written(html_text.merge(html_text.read(a[0]), html_text.read(b[0]))))
+    assert html_text.numbers_to_slots(html_text.read(a[0]), both) == {0: 0, 1: 1, 2: 2, 3: 4}
 
 
 def test_warc_links(spark):
@@ -118,20 +166,37 @@ def test_long_pages_and_many_layouts(spark):
     assert texts(spark, html, "http://many.example/") == [f"Head {t} {i}" for t in tags for i in range(6)]
 
 
-def test_folded_matching_is_by_path():
-    a, b = (html_text.parse(x) for x in ("<div><h2>1</h2><p>x</p></div><ul><li>1</ul>", "<div><h2>1</h2><p>y</p></div><table><tr><td>z</table>"))
-    t = html_text.merge(html_text.to_template(a), html_text.to_template(b))
-    matched = {}
-
-    def walk(n, key):
-        key = html_text.path_key(key, n[0], n[1])
-        matched[key] = n[2]
-        for c in n[4]:
-            walk(c, key)
-
-    walk(t, 0)
-    slots = [{r.slot for r in html_text.runs(x)[0]} for x in (a, b)]
-    assert slots[0] | slots[1] <= set(matched) and all(matched[k] == sum(k in s for s in slots) for k in slots[0] | slots[1])
+def test_template_decides_without_telling_names(spark):
+    """Neutral names, no containers, one more block on some pages: the constant blocks go, the slots that vary stay."""
+    page = '<div class="q1"><span>Our place</span></div>{1}<table><tr><td>Left</td><td><h2>Story {0}</h2><p>What story {0} tells.</p></td></tr></table><section>Write to us</section>'
+    html = [page.format(i, "<ul><li>today only</li></ul>" if i % 2 else "") for i in range(8)]
+    assert texts(spark, html, "http://neutral.example/") == [f"Story {i} What story {i} tells." for i in range(8)]
+    alone = texts(spark, html[:1], "http://alone.example/")
+    assert alone == ["Our place Left Story 0 What story 0 tells. Write to us"]  # one page has no template
+    # Many different skeletons, merged in chunks of two and three.
+    many = [page.format(i, "".join(f"<{t}>x{i}</{t}>" for t in ("h3", "pre", "blockquote", "center") if i >> "h3 pre blockquote center".split().index(t) & 1)) for i in range(16)]
+    rows = [(i, "http://m.example/", h) for i, h in enumerate(many)]
+    for merged in (2, 3, 64):
+        got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows), merged=merged, broadcast_bytes=0).collect()}
+        assert all(f"Story {i} What story {i} tells." in got[i] and "Our place" not in got[i] and "Write to us" not in got[i] for i in range(16))
+
+
+def test_names_that_say_something_of_the_page(spark):
+    cases = {
+        '<body class="home has-sidebar"><article><p>Kept</p></article></body>': "Kept", '<div class="page header-fixed"><main><p>Kept</p></main></div>': "Kept",
+        "<p>One</p><svg/><p>Two</p>": "One Two", "<p>One</p><iframe src='x'><p>Two</p>": "One Two", "<p>One</p><svg><text>no</text></svg><p>Two</p>": "One Two",
+        '<p title="x>One</p><p>Two</p>': "One Two", "<p>One<a href=": "One", '<div class="ad-top">no</div><div class="site_header">no</div><p class="adventure">Yes</p>': "Yes",
+    }
+    for k, (html, want) in enumerate(cases.items()):
+        assert texts(spark, [html], f"http://c{k}.example/") == [want], html
+
+
+def test_repeated_and_unnamed_pages(spark):
+    """Rows alike and rows without id and url: each is put out, one copy counts."""
+    page = "<div>Site name</div><p>Text {0} of page {0}</p>"
+    rows = [(None, None, page.format(i % 3)) for i in range(60)] + [(5, "http://r.example/", page.format(1))] * 20
+    got = html_text.extract(pages(spark, rows), broadcast_bytes=0).collect()
+    assert len(got) == 80 and sorted({r.text for r in got if r.page_id is None}) == [f"Text {i} of page {i}" for i in range(3)]
 
 
 def test_warc_query_returns_the_records(spark, sf):
