@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..materialise import checkpoint_dir, cut, remove
 
-__all__ = ["GAP", "WORD", "checkpoint_dir", "cut", "fresh", "n_words", "remove", "scan_parts", "table", "utf8", "words"]
+__all__ = ["GAP", "WORD", "checkpoint_dir", "cut", "fresh", "known_size", "n_words", "remove", "scan_parts", "table", "utf8", "words"]
 
 #: A word is a maximal run without ASCII white space (fixed value of the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,7 +48,15 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def _bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def known_size(df: DataFrame) -> bool:
+    """Whether the optimizer knows a size; for rows that no scan brings it takes one beyond all bounds."""
+    return _bytes(df) < 1 << 58
+
+
 def scan_parts(df: DataFrame, part_bytes: int, least: int = 1, most: int = 100_000) -> int:
     """A number of parts in proportion to the size that the optimizer sees."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(most, -(-size // part_bytes)))
+    return max(least, min(most, -(-_bytes(df) // part_bytes)))

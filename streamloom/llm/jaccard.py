@@ -19,9 +19,11 @@ Two documents link when the Jaccard similarity of their sets of five-word shingl
 6. With links=True each document's links are counted: overlaps of all sets of a class are added up from its index lists.
    Classes over LINK_SETS sets or LINK_BYTES are dealt out by pairs of chunks. This takes the square of a class's sets.
 
-Scale: shingles move as packed arrays, about 8 bytes each, in one shuffle. A shingle that is frequent within a batch is
-marked there as shared and its occurrences skip the shuffle by shingle, so no list of it meets in one task. Copies of
-one set are dropped within a map task and their rows are spread by row, not by set. Nothing is collected or broadcast.
+Scale: shingles move as packed arrays, about 8 bytes each, in one shuffle, to parts of PART_BYTES of input; from MANY_PARTS parts on
+of up to LARGE_PART_BYTES, so a part has a bound at any size of the input. A shingle that HOT_LEAST different sets of a batch
+hold is marked there as shared, for certain, and its occurrences skip the shuffle by shingle; of others a batch brings
+fewer. Entries of one index list with equal sizes are chained within a batch and one goes on. Copies of one set are
+dropped within a map task and their rows are spread by row, not by set. Nothing is collected or broadcast.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are their own component. Texts of
 one to four words have their whole sequence as the only shingle. Repeated rows are copies. A null doc_id takes part; its
@@ -37,19 +39,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, scan_parts, utf8
+from .common import cut, fresh, known_size, scan_parts, utf8
 
 WORDS = 5
 #: Similarity threshold as a fraction (fixed value of the contract).
 NUM, DEN = 3, 4
-PART_BYTES = 8 << 20
+PART_BYTES, LARGE_PART_BYTES, MANY_PARTS = 8 << 20, 64 << 20, 1 << 15
+HOT_LEAST = 16
 GROUP_SETS = 50_000
 GROUP_BYTES = 64 << 20
 LINK_SETS, LINK_BYTES = 2_000, 16 << 20
 HOT = 1 << 31
 MEMO = 250_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_LOW = np.uint64((1 << 48) - 1)
+_LOW32, _16, _32 = np.uint64((1 << 32) - 1), np.uint64((1 << 16) - 1), np.uint64(32)
 
 
 class _WordHashes(dict):
@@ -85,6 +88,27 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
+def part_of(tokens: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each hash: its upper half's place in parts equal intervals."""
+    return ((tokens >> _32) * np.uint64(parts) >> _32).astype(np.int32)
+
+
+def _interval(part, parts: int) -> np.ndarray:
+    """Where the interval of a part begins."""
+    p = np.asarray(part).astype(np.uint64) << _32
+    return (p + np.uint64(parts - 1)) // np.uint64(parts)
+
+
+def within(tokens: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
+    """48 bits of each hash that tell it within its part: the place in the interval (modulo 65536, so all of it from 65536 parts on) and the lower half."""
+    return (((tokens >> _32) - _interval(part, parts)) & _16) << _32 | tokens & _LOW32
+
+
+def whole(low: np.ndarray, part, parts: int) -> np.ndarray:
+    """A hash that is told over all parts."""
+    return (_interval(part, parts) + (low >> _32)) << _32 | low & _LOW32
+
+
 def set_id(tokens: np.ndarray) -> int:
     import xxhash
 
@@ -127,7 +151,7 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int32()), pa.array(payload, pa.binary())], schema=_PACKED)
 
 
-def _emit(parts: int, words: int, hot_share: float):
+def _emit(parts: int, words: int, hot_least: int):
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
@@ -154,21 +178,20 @@ def _emit(parts: int, words: int, hot_share: float):
             if kept:
                 who = np.repeat(np.asarray([i for i, _ in kept]), [len(t) for _, t in kept])
                 tokens = np.concatenate([t for _, t in kept])
-                part = ((tokens >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int32)
-                low = tokens & _LOW
-                order = np.lexsort((who, part)) if parts > 65535 else np.argsort(part.astype("u2"), kind="stable")
+                part = part_of(tokens, parts)
+                low = within(tokens, part, parts)
+                order = np.argsort(part.astype("u2" if parts <= 1 << 16 else "u4"), kind="stable")
                 who, part, low = who[order], part[order], low[order]
-                hot_least = max(64, int(hot_share * len(kept)))
                 for a, b in _segments(part):
                     p, w, t = int(part[a]), who[a:b], low[a:b]
-                    if len(kept) > hot_least:
+                    if len(kept) >= hot_least:
                         values, inverse, counts = np.unique(t, return_inverse=True, return_counts=True)
                         hot = counts >= hot_least
                         if hot.any():
                             # Shared for certain: the occurrences go straight to their sets, with two markers by shingle.
                             h = hot[inverse]
                             rows.append((3, p, values[hot].astype("<u8").tobytes()))
-                            full = t[h] | np.uint64(p) << np.uint64(48)
+                            full = whole(t[h], p, parts)
                             to = sids[w[h]].astype(np.uint64) % np.uint64(parts)
                             for k in np.unique(to):
                                 s = to == k
@@ -244,7 +267,7 @@ def _shared(parts: int):
             at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
             df[hot[at] == token] = HOT
         keep = df > 1
-        token, sid, size, df = token[keep] | np.uint64(part) << np.uint64(48), sid[keep], size[keep], df[keep]
+        token, sid, size, df = whole(token[keep], part, parts), sid[keep], size[keep], df[keep]
         to = (sid.astype(np.uint64) % np.uint64(parts)).astype(np.int32)
         order = np.argsort(to, kind="stable")
         token, sid, size, df, to = token[order], sid[order], size[order], df[order], to[order]
@@ -295,22 +318,33 @@ def _prefixes(parts: int):
             if token:
                 t, s, n = np.concatenate(token), np.concatenate(sid), np.concatenate(size)
                 key = ((t ^ t >> np.uint64(17)) % np.uint64(parts)).astype(np.int32)
-                order = np.argsort(key, kind="stable")
+                order = np.lexsort((s, n, t, key))
                 t, s, n, key = t[order], s[order], n[order], key[order]
-                rows = [(0, int(key[a]), pack(t[a:b], s[a:b], n[a:b])) for a, b in _segments(key)]
+                # Entries of one list with equal sizes are neighbours: they are chained here, and the first one goes on for all.
+                same = np.concatenate([[False], (t[1:] == t[:-1]) & (n[1:] == n[:-1])])
+                chained = np.flatnonzero(same & np.concatenate([[False], s[1:] != s[:-1]]))
+                rows = [(4, int(key[chained[a]]), pack(s[chained[a:b] - 1], s[chained[a:b]])) for a, b in _segments(key[chained])]
+                t, s, n, key = t[~same], s[~same], n[~same], key[~same]
+                rows += [(0, int(key[a]), pack(t[a:b], s[a:b], n[a:b])) for a, b in _segments(key)]
             yield _rows(rows)
 
     return run
 
 
 def _neighbours(table):
-    """Neighbours by size in each index list, as long as the smaller may link with the larger."""
-    t, s, n = (np.concatenate(x) for x in zip(*(unpack(p, "u8 i8 u4") for p in table.column("payload").to_pylist()), strict=True))
+    """Neighbours by size in each index list, as long as the smaller may link with the larger; and those that were chained before."""
+    lists, ready = [], [np.empty((0, 2), "<i8")]
+    for kind, p in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True):
+        if kind == 4:
+            ready.append(np.stack(unpack(p, "i8 i8"), 1))
+        else:
+            lists.append(unpack(p, "u8 i8 u4"))
+    t, s, n = (np.concatenate(x) for x in zip(*lists, strict=True))
     order = np.lexsort((s, n, t))
     t, s, n = t[order], s[order], n[order].astype("i8")
     near = (t[1:] == t[:-1]) & (DEN * n[:-1] >= NUM * n[1:]) & (s[1:] != s[:-1])
-    a, b = s[:-1][near], s[1:][near]
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    pairs = np.sort(np.concatenate([*ready, np.stack([s[:-1][near], s[1:][near]], 1)]), axis=1)
+    pairs = np.unique(pairs, axis=0)
     return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
@@ -504,12 +538,12 @@ def _links(sets: DataFrame, rooted: DataFrame, parts: int, link_sets: int, link_
     return counted.groupBy("sid").agg(F.sum("links").alias("links"))
 
 
-def link_classes(docs: DataFrame, words: int = WORDS, part_bytes: int = PART_BYTES, group_sets: int = GROUP_SETS, group_bytes: int = GROUP_BYTES, hot_share: float = 0.02, links: bool = False, link_sets: int = LINK_SETS, link_bytes: int = LINK_BYTES) -> DataFrame:
+def link_classes(docs: DataFrame, words: int = WORDS, part_bytes: int = PART_BYTES, group_sets: int = GROUP_SETS, group_bytes: int = GROUP_BYTES, hot_least: int = HOT_LEAST, links: bool = False, link_sets: int = LINK_SETS, link_bytes: int = LINK_BYTES) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one per row of docs. links: also n_links, with how many other rows it links."""
     spark = docs.sparkSession
-    parts = min(1 << 15, scan_parts(docs, part_bytes, least=16))
+    parts = max(min(MANY_PARTS, scan_parts(docs, part_bytes, least=16)), scan_parts(docs, LARGE_PART_BYTES, most=1 << 22) if known_size(docs) else 16)
     source = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text"))
-    emitted = source.mapInArrow(_emit(parts, words, hot_share), PACKED)
+    emitted = source.mapInArrow(_emit(parts, words, hot_least), PACKED)
     # Markers of frequent shingles (kind 3) go with their part's rows (kind 0).
     keyed = emitted.select(F.when(F.col("kind") == 3, 0).otherwise(F.col("kind")).alias("kind"), "key", "payload", F.col("kind").alias("sub"))
     shared = keyed.groupBy("kind", "key").applyInArrow(_shared(parts), PACKED)

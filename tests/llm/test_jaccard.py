@@ -51,7 +51,7 @@ def near_copies(seed, n=90):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"group_sets": 12, "hot_share": 0.0}])
+@pytest.mark.parametrize("options", [{}, {"group_sets": 12, "hot_least": 3}])
 def test_against_brute_force(spark, options):
     rows = near_copies(5) + EDGE
     rows = [(None if r[0] is None else i, *r[1:]) for i, r in enumerate(rows)]
@@ -100,7 +100,7 @@ def test_one_of_each_and_empty(spark, edge, none):
     assert jaccard.link_classes(none).count() == 0 and jaccard.one_of_each(none).count() == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"link_sets": 7, "group_sets": 12, "hot_share": 0.0}])
+@pytest.mark.parametrize("options", [{}, {"link_sets": 7, "group_sets": 12, "hot_least": 3}])
 def test_links_against_brute_force(spark, options):
     rows = near_copies(11) + EDGE + near_copies(11)[:20]
     rows = [(None if r[0] is None else i, *r[1:]) for i, r in enumerate(rows)]
@@ -109,3 +109,27 @@ def test_links_against_brute_force(spark, options):
     want = sorted((str(r[0]), sum(bool(linked(a, b)) for j, b in enumerate(sets) if j != i)) for i, (r, a) in enumerate(zip(rows, sets, strict=True)))
     found = sorted((str(r.doc_id), r.n_links) for r in jaccard.link_classes(documents(spark, rows).repartition(3), links=True, **options).collect())
     assert found == want and sum(n for _, n in want) > 100
+
+
+def test_hashes_are_told_in_and_over_parts():
+    import numpy as np
+
+    tokens = np.unique(np.random.default_rng(1).integers(0, 2**64, 20_000, dtype=np.uint64))
+    for parts in (16, 1000, 1 << 15, 1 << 16, (1 << 20) + 7, 1 << 22):
+        part = jaccard.part_of(tokens, parts)
+        assert part.min() >= 0 and part.max() < parts and (np.diff(part) >= 0).all()
+        full = jaccard.whole(jaccard.within(tokens, part, parts), part, parts)
+        assert (jaccard.part_of(full, parts) == part).all()
+        assert len(np.unique(full)) == len(tokens)
+        if parts >= 1 << 16:
+            assert (full == tokens).all()
+
+
+def test_a_shingle_in_many_sets_and_parts(spark, monkeypatch):
+    """One passage in a hundredth of all sets, and more parts than fit into 16 bits."""
+    rows = near_copies(3, 300)
+    passage = " ".join(f"p{i}" for i in range(6))
+    rows = [(i, f"{t} {passage}" if i % 100 == 7 else t, *r) for i, t, *r in rows]
+    assert got(documents(spark, rows).repartition(5), hot_least=2) == brute(rows)
+    monkeypatch.setattr(jaccard, "MANY_PARTS", 1 << 17)
+    assert got(documents(spark, rows).repartition(2)) == brute(rows)
