@@ -182,25 +182,29 @@ def _emit(parts: int, words: int, hot_least: int):
                 low = within(tokens, part, parts)
                 order = np.argsort(part.astype("u2" if parts <= 1 << 16 else "u4"), kind="stable")
                 who, part, low = who[order], part[order], low[order]
+                straight = []
                 for a, b in _segments(part):
                     p, w, t = int(part[a]), who[a:b], low[a:b]
                     if len(kept) >= hot_least:
                         values, inverse, counts = np.unique(t, return_inverse=True, return_counts=True)
                         hot = counts >= hot_least
                         if hot.any():
-                            # Shared for certain: the occurrences go straight to their sets, with two markers by shingle.
+                            # Shared for certain: the occurrences go straight to their sets, with a marker by shingle.
                             h = hot[inverse]
                             rows.append((3, p, values[hot].astype("<u8").tobytes()))
-                            full = whole(t[h], p, parts)
-                            to = sids[w[h]].astype(np.uint64) % np.uint64(parts)
-                            for k in np.unique(to):
-                                s = to == k
-                                ww = w[h][s]
-                                rows.append((1, int(k), pack(sids[ww], sizes[ww], full[s], np.full(s.sum(), HOT, "<u4"))))
+                            straight.append((w[h], whole(t[h], p, parts)))
                             w, t = w[~h], t[~h]
                     if len(w):
                         own, n = _runs(w)
                         rows.append((0, p, pack(sids[own], sizes[own], n.astype("<u2"), (t & np.uint64(0xFFFFFFFF)).astype("<u4"), (t >> np.uint64(32)).astype("<u2"))))
+                if straight:
+                    w, t = (np.concatenate(x) for x in zip(*straight, strict=True))
+                    to = (sids[w].astype(np.uint64) % np.uint64(parts)).astype(np.int32)
+                    order = np.argsort(to, kind="stable")
+                    w, t, to = w[order], t[order], to[order]
+                    rows += [(1, int(to[a]), pack(sids[w[a:b]], sizes[w[a:b]], t[a:b], np.full(b - a, HOT, "<u4"))) for a, b in _segments(to)]
+                    del straight, w, t, to, order
+                del who, tokens, part, low
             yield _rows(rows)
         _hashes.clear()  # the worker goes on to other stages
 
