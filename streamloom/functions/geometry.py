@@ -72,5 +72,17 @@ def tile_grid(sizes: DataFrame, tile: int = 640, overlap: float = 0.2) -> DataFr
     return cells.select("width", "height", (row * nx + F.col("i")).cast("int").alias("tile_idx"), "x", "y", F.least("width", F.lit(tile)).alias("w"), F.least("height", F.lit(tile)).alias("h"))
 
 
+def with_tiles(frames: DataFrame, tile: int = 640, overlap: float = 0.2, full_frame: bool = True) -> DataFrame:
+    """Frames (with width, height) times the tiles of their size: adds tile_idx and tile, struct(x, y, w, h); -1 is the whole frame.
+
+    The grid is made once a size and joined back; it has few rows, so the planner broadcasts it and frames do not move.
+    """
+    grid = tile_grid(frames, tile, overlap).select("width", "height", "tile_idx", F.struct("x", "y", "w", "h").alias("tile"))
+    if full_frame:
+        whole = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("width").cast("int").alias("w"), F.col("height").cast("int").alias("h"))
+        grid = grid.unionByName(frames.select("width", "height").distinct().select("width", "height", F.lit(-1).alias("tile_idx"), whole.alias("tile")))
+    return frames.join(grid, ["width", "height"])
+
+
 def tile_count(width: Column, height: Column, tile: int, overlap: float, full_frame: bool = True) -> Column:
     return F.size(tile_offsets(width, tile, overlap)) * F.size(tile_offsets(height, tile, overlap)) + int(full_frame)

@@ -57,6 +57,62 @@ def warmed(results: DataFrame, first: int = 60) -> DataFrame:
     return results.where(F.col("frame_no") >= first)
 
 
+def warmed_by_time(results: DataFrame, seconds: float = 12.0, at: str = "pts_us") -> DataFrame:
+    """Rows of `seconds` or more after the first one of all: one aggregate row, which is broadcast."""
+    first = results.agg(F.min(at).alias("_first"))
+    return results.join(F.broadcast(first)).where(F.col(at) >= F.col("_first") + int(seconds * 1_000_000)).drop("_first")
+
+
+def medians(results: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """Interpolated medians of columns (name: column) per key, and over all rows with key null. One pass over both groupings."""
+    per = results.rollup(key).agg(F.count("*").alias("n"), *[F.median(c).alias(n) for n, c in columns.items()], F.grouping(key).alias("_all"))
+    return per.select(key, (F.col("_all") == 1).alias("pooled"), "n", *columns)
+
+
+def verify_ratio(verified: DataFrame) -> DataFrame:
+    """Frames verified, those that passed and their share. verified: rows with verify_ok."""
+    v = verified.agg(F.count("verify_ok").alias("verified"), F.count_if("verify_ok").alias("passed"))
+    return v.withColumn("share", F.when(F.col("verified") > 0, F.col("passed") / F.col("verified")))
+
+
+def plates(texts: DataFrame, frame: list[str]) -> DataFrame:
+    """Texts read that are not empty, in all and per frame that has any row."""
+    per = texts.groupBy(*frame).agg(F.count_if(F.col("text") != "").alias("n"))
+    return per.agg(F.sum("n").alias("plates"), F.count("*").alias("frames"), F.avg("n").alias("per_frame"), F.max("n").alias("most"))
+
+
+def child_gpu_means(results: DataFrame) -> DataFrame:
+    """Mean GPU milliseconds of each child over the frames. results: rows with children array<struct<name, ms_gpu>>."""
+    c = results.select(F.posexplode("children").alias("layer", "c"))
+    return c.groupBy("layer", F.col("c.name").alias("name")).agg(F.count("*").alias("frames"), F.avg("c.ms_gpu").alias("ms_gpu"))
+
+
+def top_counts(detections: DataFrame, frames: DataFrame, frame: list[str], k: int = 5) -> DataFrame:
+    """The k most frequent numbers of detections in a frame, frames without any included; the smaller number first among equals."""
+    per = frames.select(*frame).join(detections.groupBy(*frame).agg(F.count("*").alias("n")), frame, "left").select(F.coalesce("n", F.lit(0)).alias("detections"))
+    return per.groupBy("detections").agg(F.count("*").alias("frames")).orderBy(F.desc("frames"), "detections").limit(k)
+
+
+def aggregate_rates(results: DataFrame) -> DataFrame:
+    """Rates of the streams added up, and their waiting and GPU times averaged over streams (not rows)."""
+    seconds = (F.max("pts_us") - F.min("pts_us")) / 1e6
+    per = results.groupBy("stream_id").agg(
+        F.when(seconds > 0, F.count("*") / seconds).alias("per_s"), F.avg("ms_pop_to_ready").alias("pre"), F.avg("ms_ready_to_take").alias("queue"), F.avg("ms_take_to_done").alias("gpu")
+    )
+    return per.agg(F.count("*").alias("streams"), F.sum("per_s").alias("per_s"), *[F.avg(c).alias(f"{c}_ms") for c in ("pre", "queue", "gpu")])
+
+
+def routed(child: DataFrame, family: str) -> DataFrame:
+    """Rows that a child has an answer for, told by the answer: a text or vector that is not empty, a score that is not 0."""
+    test = {"ctc": lambda: F.col("text") != "", "embedding": lambda: F.size("vector") > 0, "argmax": lambda: F.col("score") != 0}
+    return child.where(test[family]())
+
+
+def run_counters(status: DataFrame) -> DataFrame:
+    """Counters over all sources: (decoded, reconnects, failed, dropped). status: a row a stream."""
+    return status.agg(F.sum("decoded").alias("decoded"), F.sum("reconnects").alias("reconnects"), F.count_if("failed").alias("failed"), F.sum("dropped").alias("dropped"))
+
+
 def first_mode(rows: DataFrame, key: str, value: str, arrival: str) -> DataFrame:
     """A key's most frequent value, the first seen among equals."""
     c = rows.groupBy(key, value).agg(F.count("*").alias("n"), F.min(arrival).alias("first_seen"))

@@ -746,6 +746,134 @@ def key_value_scan(spark, sf):
     return files.key_values(X.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("no"), line.alias("value")))
 
 
+# ---- totals and displays (A-03 A-11 A-12 A-18 A-24 A-27 A-28 A-30 F-12 F-15 F-17 G-06 J-02 K-13 K-16 O-04 O-06 O-07 P-25 S-16) ------
+
+
+@query(f"WITH {VE}, l AS (SELECT vec_id, CASE label WHEN 0 THEN 'cat' WHEN 1 THEN 'dog' WHEN 5 THEN 'car' ELSE 'imagenet_' || CAST(label AS VARCHAR) END AS name FROM ve) SELECT name, count(*) AS n, min(vec_id) AS first_seen FROM l GROUP BY name ORDER BY n DESC, first_seen LIMIT 10")
+def label_topk(spark, sf):
+    names = label_names(spark, sf)
+    return consumers.top_values(names, "name", 10, "vec_id")
+
+
+@query(f"WITH {TX}, p AS (SELECT stream_id, arrival // 4 AS frame, count(*) FILTER (WHERE text <> '') AS n FROM tx GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS plates, count(*) AS frames, round(avg(n), 6) AS per_frame, max(n) AS most FROM p")
+def plates_read(spark, sf):
+    t = X.texts(spark, sf).withColumn("frame", F.expr("arrival div 4"))
+    return latency.plates(t, ["stream_id", "frame"]).withColumn("per_frame", F.round("per_frame", 6))
+
+
+@query(f"""WITH {DET}, e AS (SELECT stream_id, frame_no, det_idx AS rank, x, cls, score FROM det), a AS (SELECT stream_id, frame_no, det_idx AS rank, x + CASE WHEN event_id % 7 = 0 THEN 0.25 ELSE 0.0625 END AS x, cls, score FROM det WHERE NOT (event_id % 13 = 0 AND det_idx = 0)),
+v AS (SELECT bool_and(coalesce(a.cls = e.cls AND a.score = e.score AND abs(a.x - e.x) < 0.1, false)) AS ok FROM e LEFT JOIN a USING (stream_id, frame_no, rank) GROUP BY e.stream_id, e.frame_no)
+SELECT count(*) AS verified, count(*) FILTER (WHERE ok) AS passed, round(count(*) FILTER (WHERE ok) / count(*), 6) AS share FROM v""")
+def verify_share(spark, sf):
+    return latency.verify_ratio(reference_verify(spark, sf)).withColumn("share", F.round("share", 6))
+
+
+@query(f"""WITH {RES}, s AS (SELECT *, ms_pop_to_ready + ms_ready_to_take + ms_take_to_done AS total FROM res WHERE frame_no >= 60)
+SELECT stream_id, stream_id IS NULL AS pooled, count(*) AS n, round(median(ms_pop_to_ready), 6) AS decode, round(median(ms_ready_to_take), 6) AS queue, round(median(ms_take_to_done), 6) AS gpu, round(median(total), 6) AS total FROM s GROUP BY GROUPING SETS ((stream_id), ())""")
+def pooled_medians(spark, sf):
+    r = latency.warmed(X.results(spark, sf)).withColumn("all_ms", latency.end_to_end())
+    m = latency.medians(r, "stream_id", {"decode": "ms_pop_to_ready", "queue": "ms_ready_to_take", "gpu": "ms_take_to_done", "total": "all_ms"})
+    return m.select("stream_id", "pooled", "n", *[F.round(c, 6).alias(c) for c in ("decode", "queue", "gpu", "total")])
+
+
+@query(f"""WITH {RES}, c AS (SELECT 0 AS layer, 'read' AS name, (event_id % 31) / 10.0::DOUBLE AS ms FROM res UNION ALL SELECT 1, 'classify', (event_id % 17) / 10.0::DOUBLE FROM res)
+SELECT CAST(layer AS INTEGER) AS layer, name, count(*) AS frames, round(avg(ms), 6) AS ms_gpu FROM c GROUP BY ALL""")
+def child_gpu_means(spark, sf):
+    r = X.results(spark, sf).selectExpr("array(named_struct('name', 'read', 'ms_gpu', (event_id % 31) / 10.0d), named_struct('name', 'classify', 'ms_gpu', (event_id % 17) / 10.0d)) as children")
+    return latency.child_gpu_means(r).withColumn("ms_gpu", F.round("ms_gpu", 6))
+
+
+@query(f"WITH {DET}, p AS (SELECT f.stream_id, f.frame_no, count(d.score) AS n FROM frames f LEFT JOIN (SELECT * FROM det WHERE score >= 0.4) d USING (stream_id, frame_no) GROUP BY ALL) SELECT n AS detections, count(*) AS frames FROM p GROUP BY n ORDER BY frames DESC, n LIMIT 5")
+def top_counts(spark, sf):
+    return latency.top_counts(X.detections(spark, sf).where("score >= 0.4"), X.frames(spark, sf), ["stream_id", "frame_no"])
+
+
+@query(f"""WITH {RES}, p AS (SELECT stream_id, count(*) / nullif((max(pts_us) - min(pts_us)) / 1e6, 0) AS per_s, avg(ms_pop_to_ready) AS pre, avg(ms_ready_to_take) AS queue, avg(ms_take_to_done) AS gpu FROM res GROUP BY stream_id)
+SELECT count(*) AS streams, round(sum(per_s), 9) AS per_s, round(avg(pre), 6) AS pre_ms, round(avg(queue), 6) AS queue_ms, round(avg(gpu), 6) AS gpu_ms FROM p""")
+def aggregate_rates(spark, sf):
+    r = latency.aggregate_rates(X.results(spark, sf))
+    return r.select("streams", F.round("per_s", 9).alias("per_s"), *[F.round(c, 6).alias(c) for c in ("pre_ms", "queue_ms", "gpu_ms")])
+
+
+@query(f"WITH {RES} SELECT stream_id, count(*) AS n, round(avg(ms_take_to_done), 6) AS gpu_ms FROM res WHERE pts_us >= (SELECT min(pts_us) FROM res) + 86400000000 GROUP BY stream_id")
+def warmup_by_time(spark, sf):
+    return latency.warmed_by_time(X.results(spark, sf), 86_400).groupBy("stream_id").agg(F.count("*").alias("n"), F.round(F.avg("ms_take_to_done"), 6).alias("gpu_ms"))
+
+
+@query(f"""WITH {TX}, {VE} SELECT 'ctc' AS family, count(*) FILTER (WHERE text <> '') AS n FROM tx UNION ALL SELECT 'argmax', count(*) FILTER (WHERE label % 3 <> 0) FROM ve UNION ALL SELECT 'embedding', count(*) FILTER (WHERE vec_id % 4 <> 0) FROM ve""")
+def routed_test(spark, sf):
+    """Answers told from defaults: texts, scores of 0, empty vectors."""
+    v = X.vectors(spark, sf)
+    scores = v.select(F.when(F.col("label") % 3 == 0, 0.0).otherwise(0.5).alias("score"))
+    rows = v.select(F.when(F.col("vec_id") % 4 == 0, F.array().cast("array<float>")).otherwise(F.col("embedding")).alias("vector"))
+    parts = [("ctc", X.texts(spark, sf)), ("argmax", scores), ("embedding", rows)]
+    out = [latency.routed(d, f).agg(F.count("*").alias("n")).select(F.lit(f).alias("family"), "n") for f, d in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(f"""WITH {CE}, gr AS (SELECT N, round(inf_rate, 3) AS rate, count(*) AS settings, string_agg(decode || '(nvdec ' || nvdec_pct || '%, hold ' || hold_pct || '%)', ' | ' ORDER BY decoded_per_s DESC, decode, nvdec_pct, hold_pct) AS line FROM cells WHERE N IN (32, 50, 75, 100) GROUP BY ALL HAVING count(*) >= 2)
+SELECT N, rate, settings, line FROM gr ORDER BY N, rate DESC LIMIT 20""")
+def shown_groups(spark, sf):
+    return atlas.shown_groups(X.cells(spark, sf))
+
+
+@query(f"WITH {CE} SELECT CAST(row_number() OVER (ORDER BY decode, N, skip, version) AS INTEGER) AS place, version, N, decode, skip FROM cells ORDER BY place LIMIT 500")
+def cells_in_order(spark, sf):
+    """Cells with N and skip as texts, as a CSV gives them, in the order of their numbers; the first 500 as a report."""
+    c = X.cells(spark, sf).select("version", F.col("N").cast("string"), "decode", F.col("skip").cast("string"))
+    first = atlas.in_order(c.repartitionByRange("decode", "N")).orderBy("decode", F.col("N").cast("int"), F.col("skip").cast("int"), "version").limit(500)
+    place = F.row_number().over(Window.orderBy("decode", F.col("N").cast("int"), F.col("skip").cast("int"), "version"))
+    return first.select(place.alias("place"), "version", F.col("N").cast("int").alias("N"), "decode", F.col("skip").cast("int").alias("skip"))
+
+
+_FULL = """g AS (SELECT CAST(n AS INTEGER) AS N, d AS decode, CAST(k AS INTEGER) AS skip, gop, round(rate / k, 4) AS inf_rate, round(rate * n, 1) AS offered_per_s FROM (VALUES (1), (4), (8), (16), (32), (50), (75), (100)) a(n),
+(VALUES ('all', 30, 30.0::DOUBLE), ('key15', 15, 2.0::DOUBLE), ('key30', 30, 1.0::DOUBLE), ('key60', 60, 0.5::DOUBLE), ('key150', 150, 0.2::DOUBLE)) b(d, gop, rate), (VALUES (1), (2), (3), (4), (6), (8), (12), (15), (24), (30), (45), (60), (90), (150)) c(k))"""
+
+
+@query(f"WITH {_FULL} SELECT 'full' AS mode, * FROM g WHERE inf_rate >= 0.045 UNION ALL SELECT 'mini', * FROM g WHERE skip IN (1, 2, 3, 6, 15) AND ((decode = 'all' AND N IN (1, 4, 8, 16)) OR (decode = 'key30' AND N IN (16, 32)) OR (decode = 'key150' AND N = 32)) AND (skip = 1 OR (N <> 1 AND decode = 'all'))")
+def capacity_grid(spark, sf):
+    parts = [atlas.grid(spark, mode, "4k").select(F.lit(mode).alias("mode"), "N", "decode", "skip", "gop", "inf_rate", "offered_per_s") for mode in ("full", "mini")]
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"""WITH {VE}, u AS (SELECT vec_id AS arrival, stream_id, list_transform(embedding, lambda v: v::DOUBLE / (sqrt(list_sum(list_transform(embedding, lambda e: e::DOUBLE * e::DOUBLE))) + 1e-9)) AS v FROM ve),
+p AS (SELECT q.stream_id, q.arrival, g.stream_id AS other, g.arrival AS seen, q.v AS a, g.v AS b FROM u q JOIN u g ON g.stream_id <> q.stream_id AND g.arrival < q.arrival AND g.arrival >= q.arrival - 48 * 16),
+n AS (SELECT stream_id, arrival, other, seen, round(list_sum(list_transform(list_zip(a, b), lambda z: z[1] * z[2])), 6) AS cosine, row_number() OVER (PARTITION BY arrival, other ORDER BY seen DESC) AS age FROM p),
+k AS (SELECT * FROM n WHERE age <= 20), m AS (SELECT *, row_number() OVER (PARTITION BY arrival, other ORDER BY cosine DESC, seen) AS r FROM k)
+SELECT stream_id, arrival, other, cosine, seen FROM m WHERE r = 1 AND cosine >= 0.3 ORDER BY arrival, other LIMIT 10""")
+def first_matches(spark, sf):
+    """The first ten re-identifications by arrival, as a report shows them."""
+    return reid_top1(spark, sf).orderBy("arrival", "other").limit(10)
+
+
+@query(f"""WITH {FR}, s AS (SELECT DISTINCT width, height FROM frames),
+ox AS (SELECT DISTINCT width, least(i * 512, greatest(width - 640, 0)) AS x FROM s, range(0, 10) t(i) WHERE i * 512 < width - 640 + 512),
+oy AS (SELECT DISTINCT height, least(i * 512, greatest(height - 640, 0)) AS y FROM s, range(0, 10) t(i) WHERE i * 512 < height - 640 + 512)
+SELECT stream_id, frame_no, count(*) AS tiles, CAST(sum(x) AS BIGINT) AS xs, CAST(sum(y) AS BIGINT) AS ys FROM frames JOIN ox USING (width) JOIN oy USING (height) WHERE frame_no % 10 = 0 GROUP BY ALL""")
+def frame_tiles(spark, sf):
+    """Every tenth frame with the tiles of its size: the grid is made once a size."""
+    t = G.with_tiles(X.frames(spark, sf).where("frame_no % 10 = 0"), 640, 0.2, full_frame=False)
+    return t.groupBy("stream_id", "frame_no").agg(F.count("*").alias("tiles"), F.sum("tile.x").alias("xs"), F.sum("tile.y").alias("ys"))
+
+
+@query("SELECT 's' || CAST(c_custkey AS VARCHAR) || chr(9) || 'live/' || CAST(c_custkey AS VARCHAR) || chr(9) || CAST(c_custkey AS VARCHAR) || '.mp4' AS line FROM customer WHERE c_custkey % 3 = 1")
+def manifest_tsv(spark, sf):
+    k = F.col("c_custkey").cast("string")
+    scenario = F.concat(F.lit("s0"), (F.col("c_custkey") % 3).cast("string"))
+    m = X.table(spark, sf, "customer").select(F.concat(F.lit("s"), k).alias("slug"), F.concat(F.lit("live/"), k).alias("rtsp_path"), F.concat(k, F.lit(".mp4")).alias("file"), scenario.alias("scenario"))
+    return files.manifest_lines(m, ["S01"])
+
+
+@query(f"""WITH {EV}, c AS (SELECT row_number() OVER (ORDER BY event_id) AS seq, (row_number() OVER (ORDER BY event_id) - 1) * 40000 AS pts FROM ev), s AS (SELECT max(pts) + 1 AS span FROM c),
+m AS (SELECT k AS stream_id, seq AS clip_seq, ((pts - k * 1000000) % span + span) % span AS place FROM c, s, range(0, 3) r(k)) SELECT CAST(stream_id AS INTEGER) AS stream_id, CAST(row_number() OVER (PARTITION BY stream_id ORDER BY place) AS BIGINT) AS seq, clip_seq, CAST(place AS BIGINT) AS pts_us FROM m""")
+def staggered_fleet(spark, sf):
+    """One clip as three streams, each a second further into it."""
+    from .operators.ordered import numbered
+
+    clip = numbered(X.events(spark, sf).select(F.lit(0).alias("clip"), "event_id"), ["clip"], "event_id", "seq").select("seq", ((F.col("seq") - 1) * 40_000).alias("pts_us"))
+    return files.fleet(clip.withColumn("clip_seq", F.col("seq").cast("long")).withColumn("arrival_us", F.col("pts_us")), 3, 1_000_000).select("stream_id", F.col("seq").cast("long").alias("seq"), "clip_seq", "pts_us")
+
+
 def sampled_detections(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: which classes are seen how often in the sampled frames of each camera, after suppression."""
     kept = sampling.sampled(X.packets(spark, sf), X.streams(spark)).select("event_id", "stream_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered
+
 CELLS = "N int, decode string, gop int, inf_per_s_per_stream double, skip int, decoded_per_s double, offered_per_s double, hold_pct double, pre_ms double, queue_ms double, gpu_ms double, total_ms double, nvdec_pct int, sm_pct int, vram_mb int, plates int, bottleneck string"
 
 
@@ -79,6 +81,29 @@ def replicate(source: DataFrame, n: int) -> DataFrame:
     return source.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
+def fleet(source: DataFrame, n: int, stagger_us: int = 0, order: str = "seq") -> DataFrame:
+    """One clip as n streams: stream k begins k * stagger_us into the clip and goes round. source: (seq, pts_us, arrival_us, ...) of one clip.
+
+    The clip's length is one aggregate row, which is broadcast; each stream's seq counts from 1 again by its own order.
+    """
+    span = source.agg((F.max("pts_us") - F.min("pts_us") + 1).alias("_span"), F.min("pts_us").alias("_first"))
+    copies = source.join(F.broadcast(span)).withColumn("stream_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    at = F.pmod(F.col("pts_us") - F.col("_first") - F.col("stream_id") * F.lit(stagger_us), F.col("_span"))
+    moved = copies.withColumn("arrival_us", F.col("_first") + at).withColumn("pts_us", F.col("_first") + at).withColumn("_place", at)
+    return numbered(moved, ["stream_id"], "_place", order, span=1 << 32).drop("_place", "_span", "_first")
+
+
+def manifest_lines(manifest: DataFrame, scenarios: list[str] | None = None) -> DataFrame:
+    """slug, rtsp_path and file joined by tabs, of all rows or of some scenarios whatever their case."""
+    rows = manifest if scenarios is None else manifest.where(F.upper("scenario").isin([s.upper() for s in scenarios]))
+    return rows.select(F.concat_ws("\t", "slug", "rtsp_path", "file").alias("line"))
+
+
+def engine_file(model: str, max_batch: int, fp16: bool, arch: str) -> str:
+    """Name under which an engine built from a model file is kept."""
+    return f"{model.removesuffix('.onnx')}_b1-{max_batch}_{'fp16' if fp16 else 'fp32'}_{arch}.engine"
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "slug") -> DataFrame:
     """Rows of new, and those of old whose key is not in new."""
     return new.unionByName(old.join(new.select(key), key, "left_anti"))
