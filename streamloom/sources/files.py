@@ -89,7 +89,8 @@ def fleet(source: DataFrame, n: int, stagger_us: int = 0, order: str = "seq") ->
     span = source.agg((F.max("pts_us") - F.min("pts_us") + 1).alias("_span"), F.min("pts_us").alias("_first"))
     copies = source.join(F.broadcast(span)).withColumn("stream_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     at = F.pmod(F.col("pts_us") - F.col("_first") - F.col("stream_id") * F.lit(stagger_us), F.col("_span"))
-    moved = copies.withColumn("arrival_us", F.col("_first") + at).withColumn("pts_us", F.col("_first") + at).withColumn("_place", at)
+    moved = copies.withColumn("_place", at)
+    moved = moved.withColumn("arrival_us", F.col("_first") + F.col("_place")).withColumn("pts_us", F.col("_first") + F.col("_place"))
     return numbered(moved, ["stream_id"], "_place", order, span=1 << 32).drop("_place", "_span", "_first")
 
 
