@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 PLATE_CLASSES = (
     "<jing>", "<hu>", "<jin>", "<yu>", "<ji>", "<jin2>", "<meng>", "<liao>", "<ji2>", "<hei>", "<su>", "<zhe>", "<wan>", "<min>", "<gan>", "<lu>",
     "<yu2>", "<e>", "<xiang>", "<yue>", "<gui>", "<qiong>", "<chuan>", "<gui2>", "<yun>", "<zang>", "<shan>", "<gan2>", "<qing>", "<ning>", "<xin>",
-    *"0123456789", *"ABCDEFGHJKLMNPQRSTUVWXYZIO", "-",
+    "0", "1", "2", "3", "4", "5", "6", "7", "8", "9",
+    "A", "B", "C", "D", "E", "F", "G", "H", "J", "K", "L", "M", "N", "P", "Q", "R", "S", "T", "U", "V", "W", "X", "Y", "Z", "I", "O", "-",
 )
 
 
@@ -148,9 +149,21 @@ def in_order(dets: Column) -> Column:
 
 
 FAMILIES: dict[str, Callable] = {"yolo": yolo, "yolo-e2e": end_to_end, "rtdetr": end_to_end, "argmax": argmax, "ctc": ctc_steps, "embedding": lambda v: v}
+#: Detectors whose boxes go through suppression.
+SUPPRESSED = {"yolo"}
 
 
-def register_family(name: str, decode: Callable) -> None:
+def register_family(name: str, decode: Callable, suppressed: bool = False) -> None:
+    """Adds a detector family: decode(raw, anchors, classes, lb, src_w, src_h, threshold, off_x, off_y) gives the array of detections of a head."""
     if name in FAMILIES:
         raise ValueError(f"family {name!r} exists")
     FAMILIES[name] = decode
+    if suppressed:
+        SUPPRESSED.add(name)
+
+
+def detections_of(family: str, raw: Column, anchors: int, classes: int, lb: Column, src_w: Column, src_h: Column, threshold: float, net: tuple[int, int], off_x: Column | int = 0, off_y: Column | int = 0) -> Column:
+    """Boxes of a detector's head by its family; net: (width, height) of the model's input."""
+    if family in ("yolo-e2e", "rtdetr"):
+        return end_to_end(raw, anchors, lb, src_w, src_h, threshold, net if family == "rtdetr" else None)
+    return FAMILIES[family](raw, anchors, classes, lb, src_w, src_h, threshold, off_x, off_y)

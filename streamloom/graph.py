@@ -9,13 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from dataclasses import fields as fields_of
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import running
 from .functions import decode as D
-from .functions.geometry import letterbox
+from .functions import pixels, reference
+from .functions.geometry import letterbox, with_tiles
+from .materialise import cut
 from .operators import cascade, nms, sampling
+from .running import StreamInfo
 from .schema import STREAM
 
 DECODE_MODES = ("all", "key")
@@ -198,23 +203,6 @@ def parse_target(target: str) -> tuple[str, str, int | None]:
     return scheme, rest, None
 
 
-@dataclass
-class Detection:
-    x: float
-    y: float
-    w: float
-    h: float
-    score: float
-    cls: int
-
-
-@dataclass
-class StreamInfo:
-    decoded: int = 0
-    reconnects: int = 0
-    failed: bool = False
-
-
 @dataclass
 class Child:
     name: str
@@ -239,7 +227,10 @@ class Pipeline:
     ring_depth: int = 4
     sinks: tuple = ()
     ring_seconds: int = 10
-    cascade_serial: bool = False
+    cascade_serial: bool = False  # children run side by side or one after another with the same results; the planner schedules them
+    generation: int = 0
+    _session: running.Session | None = field(init=False, default=None, repr=False)
+    _stopped: bool = field(init=False, default=False, repr=False)
     root: tuple = field(init=False, default=())
     children: list[Child] = field(init=False, default_factory=list)
 
@@ -280,6 +271,8 @@ class Pipeline:
             self._fail("the first layer's steps must follow one another from the streams")
         if post.family in CHILD_FAMILIES:
             self._fail(f"family {post.family!r} is one of a child, not of the first layer")
+        if len(self.streams.entries) > engine.max_batch:
+            self._say(f"{len(self.streams.entries)} streams are more than a batch of {engine.max_batch}")
         tiled = own or first.sahi
         if tiled and post.family != "yolo":
             self._fail("tiling needs a detector with suppression")
@@ -329,47 +322,171 @@ class Pipeline:
     def frames(self, packets: DataFrame) -> DataFrame:
         return sampling.sampled(packets, self.streams.table(packets.sparkSession), self.skip, self.decode, self.max_frames)
 
-    def detections(self, frames: DataFrame, net: tuple[int, int] = (640, 640), anchors: int = 8400, classes: int = 80) -> DataFrame:
-        """frames (with width, height and the engine's input column `data`) with the array column detections."""
-        engine, post, _ = self.root
-        lb = letterbox(F.col("width"), F.col("height"), *net)
-        raw = frames.withColumn("_raw", engine.column(F.col("data"))).withColumn("_lb", lb)
-        if post.family == "yolo":
-            found = nms.suppress(D.yolo(F.col("_raw"), anchors, classes, F.col("_lb"), F.col("width"), F.col("height"), post.score), post.iou)
-        else:
-            found = D.end_to_end(F.col("_raw"), anchors, F.col("_lb"), F.col("width"), F.col("height"), post.score, net if post.family == "rtdetr" else None)
-        return raw.withColumn("detections", found).drop("_raw", "_lb")
+    def decoded(self, packets: DataFrame) -> DataFrame:
+        """Packets that are decoded, before skips: numbered, up to max_frames a stream."""
+        own = sampling.with_overrides(packets, self.streams.table(packets.sparkSession), self.skip, self.decode)
+        return sampling.max_frames(sampling.decoded(own, F.col("decode") == "key"), self.max_frames)
 
-    def results(self, packets: DataFrame, crop_input: Callable[[Column], Column] | None = None, ctc: tuple[int, int] = (68, 18), **heads) -> DataFrame:
-        """One row a frame: keys, detections, and a column per child with its outputs in the detections' places.
+    def _say(self, text: str) -> None:
+        if self.log:
+            self.log(text)
 
-        Children only see routed detections; each is one left join on the frame's keys, and the crops are made once.
+    def _pixels(self, frames: DataFrame) -> bool:
+        """Whether frames are pictures that are made into model inputs here: bytes of NV12."""
+        return dict(frames.dtypes)["data"] == "binary"
+
+    def detections(self, frames: DataFrame, net: tuple[int, int] = (640, 640), anchors: int = 8400, classes: int = 80) -> DataFrame:
+        """frames (with width, height and data) without data and with the array column detections; `expected` too if verified.
+
+        data is the model's input, or NV12 bytes, which are letterboxed for the model. Tiled: frames times tiles, each tile decoded within
+        itself, moved to its place and suppressed, then the frame's survivors, the whole frame's first, suppressed once more. A model
+        that is not fed pixels gets struct(data, tile) then.
         """
-        found = self.detections(self.frames(packets), **heads)
+        engine, post, tiled = self.root
+        if engine.shape:
+            net = (engine.shape[1], engine.shape[0])
+        w, h = F.col("width"), F.col("height")
+        whole = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), w.cast("int").alias("w"), h.cast("int").alias("h"))
+        if tiled:
+            rows = with_tiles(frames, tiled["tile"], tiled["overlap"], tiled["full_frame"])
+            own = letterbox(F.col("tile.w"), F.col("tile.h"), *net, tile=True)
+            rows = rows.withColumn("_lb", F.when(F.col("tile_idx") < 0, letterbox(w, h, *net)).otherwise(own))
+        else:
+            rows = frames.withColumn("tile", whole).withColumn("_lb", letterbox(w, h, *net))
+        if self._pixels(frames):
+            offset, scale, color = engine.resolved(child=False)
+            given = pixels.letterbox_tensor(F.col("data"), w, h, F.col("tile"), F.col("_lb"), net, (offset, scale), color)
+        else:
+            given = F.struct("data", "tile") if tiled else F.col("data")
+        rows = rows.withColumn("_raw", engine.column(given))
+        place = (F.col("_lb"), F.col("tile.w"), F.col("tile.h"))
+        found = D.detections_of(post.family, F.col("_raw"), anchors, classes, *place, post.score, net, F.col("tile.x"), F.col("tile.y"))
+        rows = rows.withColumn("detections", F.coalesce(found, F.array().cast(D._DETS)))
+        if post.family in D.SUPPRESSED:
+            rows = rows.withColumn("detections", nms.suppress(F.col("detections"), post.iou))
+        if self.verify and post.family == "yolo":
+            rows = rows.withColumn("expected", reference.reference(F.col("_raw"), anchors, classes, *place, post.score, post.iou))
+        if not tiled:
+            return rows.drop("_raw", "_lb", "tile", "data")
+        keys, rest = ["stream_id", "frame_no"], [c for c in frames.columns if c not in ("stream_id", "frame_no", "data")]
+        per = rows.groupBy(*keys).agg(F.any_value(F.struct(*rest)).alias("_of"), F.array_sort(F.collect_list(F.struct("tile_idx", "detections"))).alias("_tiles"))
+        survivors = F.flatten(F.transform("_tiles", lambda t: t["detections"]))
+        return per.select(*keys, "_of.*", nms.suppress(survivors, tiled["merge_iou"]).alias("detections"))
+
+    def results(self, packets: DataFrame, crop_input: Callable[[Column, Column], Column] | None = None, ctc: tuple[int, int] = (68, 18), **heads) -> DataFrame:
+        """One row a frame (FRAME_RESULT without timings): keys, batch, detections, children in the order of their layers with outputs in the detections' places,
+        the first text child's and the first label child's outputs once more, and what verification found.
+
+        The root model runs once: detections are materialised where children follow. Children see routed detections only: pixels of the
+        crop where frames are NV12 bytes, else crop_input(data, rect), by default struct(data, rect).
+        """
+        engine, post, tiled = self.root
+        frames = sampling.micro_batches(self.frames(packets), engine.max_batch)
+        found = self.detections(frames, **heads)
         keys = ["stream_id", "frame_no"]
-        out = found.select(*keys, "pts_us", "detections")
-        if not self.children:
-            return out
-        long = found.select(*keys, "width", "height", "data", F.posexplode("detections").alias("det_idx", "d")).select(*keys, "width", "height", "data", "det_idx", "d.*")
+        if self.children or self.verify:
+            found = cut(found)
+        checked = self.verify and post.family == "yolo" and not tiled
+        verdict = [F.lit(checked).alias("verified"), *((reference.agrees(F.col("detections"), F.col("expected")).alias("verify_ok"), F.size("expected").alias("verify_cpu_dets")) if checked else (F.lit(False).alias("verify_ok"), F.lit(0).alias("verify_cpu_dets")))]
+        out = found.select(*keys, "pts_us", "batch_size", "batch_seq", "width", "height", "detections", *verdict)
+        long = found.select(*keys, "width", "height", F.posexplode("detections").alias("det_idx", "d")).select(*keys, "width", "height", "det_idx", "d.*")
         crops = cascade.crops(long)
-        for c in self.children:
+        pictures = self._pixels(packets)
+        for n, c in enumerate(self.children):
             s = c.select
             seen = crops if s is None else crops.where(cascade.route(s.classes, s.min_score, s.min_size))
-            given = crop_input(F.col("rect")) if crop_input else F.col("data")
-            value = c.engine.column(given)
-            family = c.post.family
-            cols = ["stream_id", "frame_no", "det_idx"]
+            seen = seen.select(*keys, "det_idx", "rect").join(frames.select(*keys, "width", "height", "data"), keys)
+            data, rect = F.col("data"), F.col("rect")
+            if pictures and crop_input is None:
+                if not c.engine.shape:
+                    raise ValueError(f"layer {c.name!r}: its engine needs a shape to be given crops of pictures")
+                offset, scale, color = c.engine.resolved(child=True)
+                given = pixels.crop_tensor(data, F.col("width"), F.col("height"), rect, (c.engine.shape[1], c.engine.shape[0]), (offset, scale), color)
+            else:
+                given = crop_input(data, rect) if crop_input else F.struct("data", "rect")
+            seen = seen.select(*keys, "det_idx", c.engine.column(given).alias("_value"))
+            value, cols, family = F.col("_value"), [*keys, "det_idx"], c.post.family
             if family == "ctc":
                 child = seen.select(*cols, D.ctc_text(D.ctc_collapse(D.ctc_steps(value, *ctc), ctc[0] - 1)).alias("text"))
             elif family == "argmax":
-                best = seen.select(*cols, D.argmax(value).alias("a"))
-                child = best.select(*cols, F.col("a.label").alias("label"), F.col("a.score").cast("double").alias("score"))
+                child = seen.select(*cols, D.argmax(value).alias("a")).select(*cols, F.col("a.label").alias("label"), F.col("a.score").cast("double").alias("score"))
             else:
-                child = seen.select(*cols, value.alias("vector"))
+                child = seen.select(*cols, value.cast("array<double>").alias("vector"))
             a = cascade.aligned(long, child, family)
-            payload = F.struct(*[x for x in a.columns if x not in keys]).alias(c.name)
-            out = out.join(a.select(*keys, payload), keys, "left")
-        return out
+            kinds = {"texts": "array<string>", "labels": "array<int>", "label_scores": "array<double>", "vectors": "array<array<double>>", "routed": "array<boolean>"}
+            fields = [(F.col(k) if k in a.columns else F.lit(None).cast(t)).alias(k) for k, t in kinds.items()]
+            payload = F.struct(F.lit(n + 1).alias("layer"), F.lit(c.name).alias("name"), F.lit(family).alias("family"), *fields)
+            out = out.join(a.select(*keys, payload.alias(f"_child{n}")), keys, "left")
+        # A frame without detections has a child with empty outputs.
+        none = {"ctc": ("texts",), "argmax": ("labels", "label_scores"), "embedding": ("vectors",)}
+        made = []
+        for n, c in enumerate(self.children):
+            own = (*none[c.post.family], "routed")
+            empty = [(F.array() if k in own else F.lit(None)).cast(t).alias(k) for k, t in kinds.items()]
+            made.append(F.coalesce(F.col(f"_child{n}"), F.struct(F.lit(n + 1).alias("layer"), F.lit(c.name).alias("name"), F.lit(c.post.family).alias("family"), *empty)))
+        first = lambda family: next((m for m, c in zip(made, self.children, strict=True) if c.post.family == family), None)
+        text, label = first("ctc"), first("argmax")
+        flat = [
+            (text["texts"] if text is not None else F.array().cast("array<string>")).alias("texts"),
+            (label["labels"] if label is not None else F.array().cast("array<int>")).alias("labels"),
+            (label["label_scores"] if label is not None else F.array().cast("array<double>")).alias("label_scores"),
+        ]
+        children = F.array(*made) if made else F.array().cast("array<struct<layer:int,name:string,family:string>>")
+        keep = [c for c in out.columns if not c.startswith("_child")]
+        return out.select(*keep, children.alias("children"), *flat)
+
+    # ---- running ------------------------------------------------------------------------------------------------------
+
+    def start(self, packets: DataFrame, **options) -> Pipeline:
+        """Starts delivering results of packets to the iterator and the sinks; options go to `results`. Once only, and not after stop."""
+        if self._session is not None or self._stopped:
+            raise RuntimeError("a pipeline starts once" if self._session is not None else "a stopped pipeline does not start again")
+        self._session = running.Session(self, packets, options)
+        return self
+
+    def stop(self) -> None:
+        """May come first and more than once."""
+        self._stopped = True
+        if self._session is not None:
+            self._session.stop()
+
+    def _running(self) -> running.Session:
+        if self._session is None:
+            raise RuntimeError("the pipeline is not started")
+        return self._session
+
+    def poll(self, timeout: float = 0.5) -> tuple[running.PollStatus, running.Result | None]:
+        return self._running().queue.poll(timeout)
+
+    def __iter__(self):
+        return self
+
+    def __next__(self):
+        return self._running().next()
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.stop()
+
+    def get_stream_info(self) -> list[StreamInfo]:
+        return self._running().stream_info()
+
+    def dropped_results(self) -> int:
+        return self._running().queue.dropped
+
+    def sink_dropped(self) -> list[int]:
+        return [q.dropped for q in self._running().lines]
+
+    def clip(self, stream_id: int, seconds_back: float, path: str) -> bool:
+        return self._running().clip(stream_id, seconds_back, path)
+
+    def rebuilt(self, **changes) -> Pipeline:
+        """The next generation: the same graph with other options, not started; the generation before is stopped."""
+        self.stop()
+        options = {f.name: getattr(self, f.name) for f in fields_of(self) if f.init}
+        return Pipeline(**(options | changes | {"generation": self.generation + 1}))
 
     @property
     def max_batch(self) -> int:

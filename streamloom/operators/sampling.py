@@ -5,10 +5,10 @@ F-01 F-02 F-03 S-07 S-09 J-03 T-13: a stream's packets are numbered once for all
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import numbered
+from .ordered import RANGE, carried, inside, numbered, over_ranges
 
 
 def with_overrides(packets: DataFrame, streams: DataFrame, skip: int = 1, decode: str = "all") -> DataFrame:
@@ -47,3 +47,16 @@ def sampled(packets: DataFrame, streams: DataFrame, skip: int = 1, decode: str =
     """All rules in their order: overrides, key filter, count, bound, skip."""
     frames = decoded(with_overrides(packets, streams, skip, decode), F.col("decode") == "key")
     return skip_sample(max_frames(frames, limit), F.col("skip"))
+
+
+def micro_batches(frames: DataFrame, max_batch: int, span_us: int = 60_000_000) -> DataFrame:
+    """Adds batch_seq and batch_size: frames in order of arrival, max_batch at a time, the last batch with what is left.
+
+    All frames are ready, so a batch that takes what is ready is full. Frames are counted in ranges of arrival time first.
+    """
+    d = frames.withColumn(RANGE, F.floor(F.col("arrival_us") / F.lit(span_us)).cast("long"))
+    before = [F.coalesce(F.sum("_n").over(over_ranges([])), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all")]
+    d = carried(d, [], {"_n": F.count("*")}, lambda _: before)
+    nth = F.col("_before") + F.row_number().over(inside([], "arrival_us", "stream_id", "frame_no")) - 1
+    d = d.withColumn("_nth", nth).withColumn("batch_seq", F.floor(F.col("_nth") / max_batch).cast("int"))
+    return d.withColumn("batch_size", F.least(F.lit(max_batch), F.col("_all") - F.col("batch_seq") * max_batch).cast("int")).drop(RANGE, "_before", "_all", "_nth")

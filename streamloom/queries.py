@@ -874,6 +874,41 @@ def staggered_fleet(spark, sf):
     return files.fleet(clip.withColumn("clip_seq", F.col("seq").cast("long")).withColumn("arrival_us", F.col("pts_us")), 3, 1_000_000).select("stream_id", F.col("seq").cast("long").alias("seq"), "clip_seq", "pts_us")
 
 
+def _tile_model(c):
+    """A stand-in for a detector: a head of two anchors and two classes from the frame's number and the tile's place."""
+    at = c["data"] * 7 + c["tile"]["x"] * 3 + c["tile"]["y"] * 5 + c["tile"]["w"]
+    lit = lambda e: e.cast("double")
+    rows = [60 + at % 500, 64 + at % 500, 60 + at % 400, 66 + at % 400, 40 + at % 60, 42 + at % 60, 50 + at % 50, 48 + at % 50]
+    return F.array(*map(lit, rows), (at % 10) / 10.0, (at % 7) / 10.0, (at % 9) / 10.0, (at % 11) / 12.0)
+
+
+def _tiled() -> str:
+    """The frames' boxes by tile in SQL: the head above, decoded within its tile and moved to its place."""
+    ch = {k: f"(CASE WHEN i = 0 THEN {a} ELSE {b} END)" for k, (a, b) in {"cx": ("60 + pos % 500", "64 + pos % 500"), "cy": ("60 + pos % 400", "66 + pos % 400"), "bw": ("40 + pos % 60", "42 + pos % 60"), "bh": ("50 + pos % 50", "48 + pos % 50"), "s0": ("(pos % 10) / 10.0::DOUBLE", "(pos % 7) / 10.0::DOUBLE"), "s1": ("(pos % 9) / 10.0::DOUBLE", "(pos % 11) / 12.0::DOUBLE")}.items()}
+    return f"""fs AS (SELECT event_id, stream_id, frame_no, width, height FROM frames WHERE frame_no % 25 = 0 AND stream_id % 4 = 0),
+tl AS (SELECT event_id, width, height, -1 AS tile, 0 AS tx, 0 AS ty, width AS tw, height AS th, 0.5::DOUBLE AS scale, 0 AS px, CAST(floor((640 - floor(height * 0.5::DOUBLE)) / 2) AS INTEGER) AS py FROM fs
+  UNION ALL SELECT event_id, width, height, CAST(r.k * 3 + q.k AS INTEGER), least(q.k * 512, 640), least(r.k * 512, 80), 640, 640, 1.0::DOUBLE, 0, 0 FROM fs, (VALUES (0), (1), (2)) q(k), (VALUES (0), (1)) r(k)),
+a0 AS (SELECT *, event_id * 7 + tx * 3 + ty * 5 + tw AS pos FROM tl), a1 AS (SELECT *, {', '.join(f'{e} AS {k}' for k, e in ch.items())} FROM a0, range(0, 2) z(i)),
+a2 AS (SELECT *, greatest(s0, s1, 0) AS score, CASE WHEN s1 > s0 THEN 1 ELSE 0 END AS cls, (cx - bw / 2.0::DOUBLE - px) / scale AS x0, (cy - bh / 2.0::DOUBLE - py) / scale AS y0 FROM a1),
+a3 AS (SELECT *, least(greatest(x0, 0), tw) AS ax, least(greatest(y0, 0), th) AS ay, least(greatest(x0 + bw / scale, 0), tw) AS bx, least(greatest(y0 + bh / scale, 0), th) AS by2 FROM a2 WHERE score >= 0.3),
+bt AS (SELECT event_id * 100 + tile + 1 AS event_id, tile, ax + tx AS x, ay + ty AS y, greatest(bx - ax, 0) AS w, greatest(by2 - ay, 0) AS h, score, cls FROM a3)"""
+
+
+@query(f"""WITH RECURSIVE {FR}, {_tiled()}, {nms_sql('bt', 0.45, 'p')}, sv AS (SELECT event_id // 100 AS event_id, unnest(kept) AS d FROM pf),
+fl AS (SELECT event_id, d.x AS x, d.y AS y, d.w AS w, d.h AS h, d.score AS score, d.cls AS cls FROM sv), {nms_sql('fl', 0.5, 'm')}, u AS (SELECT event_id, unnest(kept) AS d, generate_subscripts(kept, 1) AS i FROM mf)
+SELECT f.stream_id, f.frame_no, CAST(i - 1 AS INTEGER) AS rank, round(d.x, 4) AS x, round(d.y, 4) AS y, round(d.w, 4) AS w, round(d.h, 4) AS h, round(d.score, 6) AS score, d.cls AS cls FROM u JOIN fs f USING (event_id)""")
+def pipeline_sahi(spark, sf):
+    """A compiled pipeline with tiles over the cameras of 1280 by 720, every 25th frame."""
+    from .graph import Engine, Layer, Pipeline, Postprocess, Process, Streams
+
+    streams, layer = Streams([f"rtsp://camera/{i}" for i in range(16)]), Layer("detect", sahi={})
+    layer.add(Postprocess(layer.add(Engine(layer.add(Process(streams)), _tile_model)), "yolo", score=0.3))
+    p = Pipeline(streams, [layer])
+    frames = X.frames(spark, sf).where("frame_no % 25 = 0 and stream_id % 4 = 0").withColumn("data", F.col("event_id"))
+    d = p.detections(frames, anchors=2, classes=2).select("stream_id", "frame_no", F.posexplode("detections").alias("rank", "d"))
+    return d.select("stream_id", "frame_no", "rank", *[F.round(f"d.{c}", 4).alias(c) for c in "xywh"], F.round("d.score", 6).alias("score"), "d.cls")
+
+
 def sampled_detections(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: which classes are seen how often in the sampled frames of each camera, after suppression."""
     kept = sampling.sampled(X.packets(spark, sf), X.streams(spark)).select("event_id", "stream_id")
