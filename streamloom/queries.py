@@ -894,7 +894,7 @@ a3 AS (SELECT *, least(greatest(x0, 0), tw) AS ax, least(greatest(y0, 0), th) AS
 bt AS (SELECT event_id * 100 + tile + 1 AS event_id, tile, ax + tx AS x, ay + ty AS y, greatest(bx - ax, 0) AS w, greatest(by2 - ay, 0) AS h, score, cls FROM a3)"""
 
 
-@query(f"""WITH RECURSIVE {FR}, {_tiled()}, {nms_sql('bt', 0.45, 'p')}, sv AS (SELECT event_id // 100 AS event_id, unnest(kept) AS d FROM pf),
+@query(f"""WITH RECURSIVE {FR}, {_tiled()}, {nms_sql('bt', 0.45, 'q')}, sv AS (SELECT event_id // 100 AS event_id, unnest(kept) AS d FROM qf),
 fl AS (SELECT event_id, d.x AS x, d.y AS y, d.w AS w, d.h AS h, d.score AS score, d.cls AS cls FROM sv), {nms_sql('fl', 0.5, 'm')}, u AS (SELECT event_id, unnest(kept) AS d, generate_subscripts(kept, 1) AS i FROM mf)
 SELECT f.stream_id, f.frame_no, CAST(i - 1 AS INTEGER) AS rank, round(d.x, 4) AS x, round(d.y, 4) AS y, round(d.w, 4) AS w, round(d.h, 4) AS h, round(d.score, 6) AS score, d.cls AS cls FROM u JOIN fs f USING (event_id)""")
 def pipeline_sahi(spark, sf):
