@@ -60,10 +60,10 @@ def iou_sql(a: str, b: str) -> str:
     return f"({i} / ({a}.w * {a}.h + {b}.w * {b}.h - {i}))"
 
 
-def nms_sql(rows: str, threshold: float, prefix: str = "n") -> str:
-    """CTEs: the kept list of each event by a recursion over ranks. rows: a CTE (event_id, x, y, w, h, score, cls)."""
+def nms_sql(rows: str, threshold: float, prefix: str = "n", ties: str = "") -> str:
+    """CTEs: the kept list of each event by a recursion over ranks. rows: a CTE (event_id, x, y, w, h, score, cls); ties: further columns of the order."""
     p = prefix
-    return f"""{p}r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, cls, x) AS r FROM {rows}),
+    return f"""{p}r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, cls, x{ties}) AS r FROM {rows}),
 {p}k AS (SELECT event_id, 1::BIGINT AS r, [{{'x': x, 'y': y, 'w': w, 'h': h, 'score': score, 'cls': cls}}] AS kept FROM {p}r WHERE r = 1
   UNION ALL
   SELECT t.event_id, d.r, CASE WHEN len(list_filter(t.kept, lambda q: q.cls = d.cls AND {iou_sql('q', 'd')} > {threshold})) > 0 THEN t.kept
@@ -878,13 +878,13 @@ def _tile_model(c):
     """A stand-in for a detector: a head of two anchors and two classes from the frame's number and the tile's place."""
     at = c["data"] * 7 + c["tile"]["x"] * 3 + c["tile"]["y"] * 5 + c["tile"]["w"]
     lit = lambda e: e.cast("double")
-    rows = [60 + at % 500, 64 + at % 500, 60 + at % 400, 66 + at % 400, 40 + at % 60, 42 + at % 60, 50 + at % 50, 48 + at % 50]
+    rows = [60 + at % 500, 64 + at % 500, 200 + at % 240, 206 + at % 230, 40 + at % 60, 42 + at % 60, 50 + at % 50, 48 + at % 50]
     return F.array(*map(lit, rows), (at % 10) / 10.0, (at % 7) / 10.0, (at % 9) / 10.0, (at % 11) / 12.0)
 
 
 def _tiled() -> str:
     """The frames' boxes by tile in SQL: the head above, decoded within its tile and moved to its place."""
-    ch = {k: f"(CASE WHEN i = 0 THEN {a} ELSE {b} END)" for k, (a, b) in {"cx": ("60 + pos % 500", "64 + pos % 500"), "cy": ("60 + pos % 400", "66 + pos % 400"), "bw": ("40 + pos % 60", "42 + pos % 60"), "bh": ("50 + pos % 50", "48 + pos % 50"), "s0": ("(pos % 10) / 10.0::DOUBLE", "(pos % 7) / 10.0::DOUBLE"), "s1": ("(pos % 9) / 10.0::DOUBLE", "(pos % 11) / 12.0::DOUBLE")}.items()}
+    ch = {k: f"(CASE WHEN i = 0 THEN {a} ELSE {b} END)" for k, (a, b) in {"cx": ("60 + pos % 500", "64 + pos % 500"), "cy": ("200 + pos % 240", "206 + pos % 230"), "bw": ("40 + pos % 60", "42 + pos % 60"), "bh": ("50 + pos % 50", "48 + pos % 50"), "s0": ("(pos % 10) / 10.0::DOUBLE", "(pos % 7) / 10.0::DOUBLE"), "s1": ("(pos % 9) / 10.0::DOUBLE", "(pos % 11) / 12.0::DOUBLE")}.items()}
     return f"""fs AS (SELECT event_id, stream_id, frame_no, width, height FROM frames WHERE frame_no % 25 = 0 AND stream_id % 4 = 0),
 tl AS (SELECT event_id, width, height, -1 AS tile, 0 AS tx, 0 AS ty, width AS tw, height AS th, 0.5::DOUBLE AS scale, 0 AS px, CAST(floor((640 - floor(height * 0.5::DOUBLE)) / 2) AS INTEGER) AS py FROM fs
   UNION ALL SELECT event_id, width, height, CAST(r.k * 3 + q.k AS INTEGER), least(q.k * 512, 640), least(r.k * 512, 80), 640, 640, 1.0::DOUBLE, 0, 0 FROM fs, (VALUES (0), (1), (2)) q(k), (VALUES (0), (1)) r(k)),
@@ -894,8 +894,8 @@ a3 AS (SELECT *, least(greatest(x0, 0), tw) AS ax, least(greatest(y0, 0), th) AS
 bt AS (SELECT event_id * 100 + tile + 1 AS event_id, tile, ax + tx AS x, ay + ty AS y, greatest(bx - ax, 0) AS w, greatest(by2 - ay, 0) AS h, score, cls FROM a3)"""
 
 
-@query(f"""WITH RECURSIVE {FR}, {_tiled()}, {nms_sql('bt', 0.45, 'q')}, sv AS (SELECT event_id // 100 AS event_id, unnest(kept) AS d FROM qf),
-fl AS (SELECT event_id, d.x AS x, d.y AS y, d.w AS w, d.h AS h, d.score AS score, d.cls AS cls FROM sv), {nms_sql('fl', 0.5, 'm')}, u AS (SELECT event_id, unnest(kept) AS d, generate_subscripts(kept, 1) AS i FROM mf)
+@query(f"""WITH RECURSIVE {FR}, {_tiled()}, {nms_sql('bt', 0.45, 'q', ', y, w, h')}, sv AS (SELECT event_id // 100 AS event_id, unnest(kept) AS d FROM qf),
+fl AS (SELECT event_id, d.x AS x, d.y AS y, d.w AS w, d.h AS h, d.score AS score, d.cls AS cls FROM sv), {nms_sql('fl', 0.5, 'm', ', y, w, h')}, u AS (SELECT event_id, unnest(kept) AS d, generate_subscripts(kept, 1) AS i FROM mf)
 SELECT f.stream_id, f.frame_no, CAST(i - 1 AS INTEGER) AS rank, round(d.x, 4) AS x, round(d.y, 4) AS y, round(d.w, 4) AS w, round(d.h, 4) AS h, round(d.score, 6) AS score, d.cls AS cls FROM u JOIN fs f USING (event_id)""")
 def pipeline_sahi(spark, sf):
     """A compiled pipeline with tiles over the cameras of 1280 by 720, every 25th frame."""

@@ -56,6 +56,52 @@ def tracked_stream(detections: DataFrame, **options) -> DataFrame:
     return detections.select(cols).groupBy("stream_id").applyInPandasWithState(run, TRACKED, state_type, "append", "NoTimeout")
 
 
+def relayed_stream(packets: DataFrame, first_delta: int = 33_000) -> DataFrame:
+    """Streaming twin of the relay clock: stream_id, seq, pts_us, out_pts_us; the state is offset, last output and last step."""
+
+    def run(key, batches, state):
+        offset, last, delta = state.get if state.exists else (0, -1, first_delta)
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        out = []
+        for p in rows["pts_us"].tolist():
+            now = p + offset
+            if last >= 0 and now <= last:
+                offset = last + delta - p
+                now = p + offset
+            delta = now - last if last >= 0 else delta
+            last = now
+            out.append(now)
+        state.update((offset, last, delta))
+        yield rows.assign(out_pts_us=out)[["stream_id", "seq", "pts_us", "out_pts_us"]]
+
+    return packets.select("stream_id", "seq", "pts_us").groupBy("stream_id").applyInPandasWithState(run, "stream_id int, seq long, pts_us long, out_pts_us long", "offset long, last long, delta long", "append", "NoTimeout")
+
+
+def ring_stream(packets: DataFrame, seconds: int) -> DataFrame:
+    """Streaming twin of retention: after each batch, per stream, first and last seq that the ring holds and the evictions so far.
+
+    The state is the key frames (seq, arrival) that may still be the ring's first, from the anchor on; a group of pictures is never cut.
+    """
+
+    def run(key, batches, state):
+        first, last, newest, evicted, seqs, arrivals = state.get if state.exists else (None, None, None, 0, [], [])
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        first = int(rows["seq"].iloc[0]) if first is None else first
+        last, newest = int(rows["seq"].iloc[-1]), max(int(rows["arrival_us"].max()), newest if newest is not None else -(1 << 62))
+        keys = rows[rows["keyframe"]]
+        seqs, arrivals = list(seqs) + keys["seq"].tolist(), list(arrivals) + keys["arrival_us"].tolist()
+        aged = [i for i, a in enumerate(arrivals) if a <= newest - seconds * 1_000_000]
+        if aged:
+            anchor = aged[-1]
+            evicted, first = evicted + max(0, seqs[anchor] - first), max(first, seqs[anchor])
+            seqs, arrivals = seqs[anchor:], arrivals[anchor:]
+        state.update((first, last, newest, evicted, [int(s) for s in seqs], [int(a) for a in arrivals]))
+        yield pd.DataFrame([(key[0], first, last, evicted)], columns=["stream_id", "first_seq", "last_seq", "evicted"])
+
+    cols = packets.select("stream_id", "seq", "arrival_us", "keyframe")
+    return cols.groupBy("stream_id").applyInPandasWithState(run, "stream_id int, first_seq long, last_seq long, evicted long", "first long, last long, newest long, evicted long, seqs array<long>, arrivals array<long>", "append", "NoTimeout")
+
+
 def backoff(first_ms: int = 250, cap_ms: int = 5000, give_up_ms: int = 30_000):
     """Waits between reopening a silent source, doubling up to a cap, until the silence has lasted give_up_ms."""
     wait, silent = first_ms, 0
@@ -126,7 +172,3 @@ class Runner:
     def info(self) -> list[dict]:
         """One row a sink; one that failed leaves the others running."""
         return [{"name": q.name, "active": q.isActive, "failed": q.exception() is not None, "rows": sum(p.get("numInputRows", 0) for p in q.recentProgress)} for q in self.queries]
-
-
-def sink_rows(results: DataFrame, stream: int | None = None) -> DataFrame:
-    return results if stream is None else results.where(F.col("stream_id") == stream)
