@@ -155,3 +155,13 @@ def test_all_tracks_compact_sizes_and_fragments(spark):
     assert (r.codec, r.media_codec, r.handler, r.duration, r.n_samples) == ("mine", "avc1", "vide", 200, 5)
     assert [(t.track_id, t.codec, t.duration, t.n_samples) for t in r.tracks] == [(1, "mp4a", 77, 4), (2, "avc1", 200, 5)]
     assert media.probe(data[:-3])["error"]
+
+
+def test_small_memos_change_nothing(coder, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNKS_KEPT", 3)
+    monkeypatch.setattr(bpe, "PIECES_KEPT", 2)
+    monkeypatch.setattr(bpe, "PAIRS_KEPT", 5)
+    own, rng = bpe.Bpe(coder.ranks, P.PATTERN), random.Random(8)
+    for _ in range(200):
+        text = " ".join(rng.choice(("alpha", "beta's", "gamma\n", "", "1234", "über", "...")) + rng.choice("abc") for _ in range(rng.randrange(60)))
+        assert own.encode(text) == reference.encode_ordinary(text)
