@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECES_KEPT, CHUNKS_KEPT, KEPT_CHARS, PAIRS_KEPT = 60_000, 250_000, 48, 300_000
+PIECES_KEPT, CHUNKS_KEPT, KEPT_CHARS, PAIRS_KEPT = 60_000, 150_000, 48, 300_000
 
 
 #: Patterns in which a space before a character that is no white space always begins a piece (fixed value: the public byte-level pattern).
