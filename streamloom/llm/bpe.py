@@ -7,7 +7,7 @@ just these two; that is computed once per pair and memoised. A place that failed
 is linear. Pieces come from the tokenizer's pattern and each is encoded separately; frequent pieces are memoised.
 
 Scale: one pass by Arrow batches without a shuffle. The ranks (under 1 MB, a file of fixed size) are read by the driver and
-broadcast. Memos are per worker and bounded: a full one becomes the old one, from which what is met again moves to the new.
+broadcast. Memos are per worker and bounded; when one is full it starts afresh.
 
 Defined results: null and empty texts give no ids and the digests of no bytes. Any text goes, of any length, also one
 endless piece. Special tokens' names are plain text. Repeated rows repeat; extra columns are not read.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECES_KEPT, CHUNKS_KEPT, KEPT_CHARS, PAIRS_KEPT = 60_000, 150_000, 48, 300_000
+PIECES_KEPT, CHUNKS_KEPT, KEPT_CHARS, PAIRS_KEPT = 120_000, 250_000, 48, 300_000
 
 
 #: Patterns in which a space before a character that is no white space always begins a piece (fixed value: the public byte-level pattern).
@@ -62,8 +62,6 @@ class Bpe:
         self._derive()
         self.packed: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
-        self.old_packed: dict[str, bytes] = {}
-        self.old_chunks: dict[str, bytes] = {}
 
     def _derive(self) -> None:
         """For each token, by rank: its longest shorter token, and the two tokens whose merge makes it.
@@ -168,24 +166,20 @@ class Bpe:
     def _pack(self, piece: str) -> bytes:
         known = self.packed.get(piece)
         if known is None:
-            known = self.old_packed.get(piece)
-            if known is None:
-                ids = self.encode_piece(piece.encode("utf-8"))
-                known = struct.pack(f"<{len(ids)}I", *ids)
+            ids = self.encode_piece(piece.encode("utf-8"))
+            known = struct.pack(f"<{len(ids)}I", *ids)
             if len(piece) <= KEPT_CHARS:
                 if len(self.packed) >= PIECES_KEPT:
-                    self.old_packed, self.packed = self.packed, {}
+                    self.packed.clear()
                 self.packed[piece] = known
         return known
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a space and chunk, which starts with no white space."""
-        known = self.old_chunks.get(chunk)
-        if known is None:
-            known = b"".join(map(self._pack, self.split(" " + chunk)))
+        known = b"".join(map(self._pack, self.split(" " + chunk)))
         if len(chunk) <= KEPT_CHARS and "\n" not in chunk:
             if len(self.chunks) >= CHUNKS_KEPT:
-                self.old_chunks, self.chunks = self.chunks, {}
+                self.chunks.clear()
             self.chunks[chunk] = known
         return known
 
@@ -207,11 +201,8 @@ class Bpe:
                 else:
                     held = f"{held} {c}"
             first, *rest = [*joined, held]
-        out, make = [*map(self._pack, self.split(first))], self._chunk
-        for at in range(0, len(rest), 4096):  # the memo may change within a long text
-            get = self.chunks.get
-            out += [get(c) or make(c) for c in rest[at : at + 4096]]
-        return b"".join(out)
+        get, make = self.chunks.get, self._chunk
+        return b"".join([*map(self._pack, self.split(first)), *[get(c) or make(c) for c in rest]])
 
     def encode(self, text: str) -> list[int]:
         data = self.encode_packed(text)
