@@ -7,7 +7,8 @@ just these two; that is computed once per pair and memoised. A place that failed
 is linear. Pieces come from the tokenizer's pattern and each is encoded separately; frequent pieces are memoised.
 
 Scale: one pass by Arrow batches without a shuffle. The ranks (under 1 MB, a file of fixed size) are read by the driver and
-broadcast. Memos are per worker and bounded; when one is full it starts afresh.
+broadcast. Memos are per worker and bounded; when one is full it starts afresh. They go
+when the worker turns to another step.
 
 Defined results: null and empty texts give no ids and the digests of no bytes. Any text goes, of any length, also one
 endless piece. Special tokens' names are plain text. Repeated rows repeat; extra columns are not read.
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hold
+
 PIECES_KEPT, CHUNKS_KEPT, KEPT_CHARS, PAIRS_KEPT = 120_000, 250_000, 48, 300_000
 
 
@@ -220,8 +223,13 @@ class Bpe:
 _made: dict[str, Bpe] = {}
 
 
+def _forget() -> None:
+    _made.clear()
+
+
 def worker_bpe(data: bytes, pattern: str) -> Bpe:
     """One encoder per worker process and vocabulary."""
+    hold("bpe", _forget)
     key = hashlib.sha256(data + pattern.encode()).hexdigest()
     if key not in _made:
         _made.clear()

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..materialise import checkpoint_dir, cut, remove
 
-__all__ = ["GAP", "WORD", "checkpoint_dir", "cut", "fresh", "known_size", "n_words", "remove", "scan_parts", "table", "utf8", "words"]
+__all__ = ["GAP", "WORD", "checkpoint_dir", "cut", "fresh", "hold", "known_size", "n_words", "remove", "scan_parts", "table", "utf8", "words"]
 
 #: A word is a maximal run without ASCII white space (fixed value of the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,6 +44,26 @@ def n_words(text: Column) -> Column:
     return F.when(t.rlike(r"[^\x20\x09-\x0D]"), pieces).otherwise(F.lit(0)).cast("long")
 
 
+_holder: list = [None, None]
+
+
+def hold(step: str, drop=None) -> None:
+    """Tells that this worker process now works for a step, whose memos `drop` empties.
+
+    Python workers outlive stages, so what another step left is dropped first and its memory goes back to the system. Both functions
+    have to be of a module, as a nested function works on copies of a module's memos.
+    """
+    if _holder[0] != step:
+        if _holder[1]:
+            _holder[1]()
+        _holder[:] = step, drop
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """A string column as bytes; null is empty. No decoding takes place."""
     if isinstance(column, pa.ChunkedArray):

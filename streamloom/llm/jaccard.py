@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, known_size, scan_parts, utf8
+from .common import cut, fresh, hold, known_size, scan_parts, utf8
 
 WORDS = 5
 #: Similarity threshold as a fraction (fixed value of the contract).
@@ -68,6 +68,10 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def _forget() -> None:
+    _hashes.clear()
+
+
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes of a UTF-8 text, A-Z lower-cased."""
     w = text.lower().split()  # bytes: only A-Z change, only ASCII white space separates
@@ -153,6 +157,7 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def _emit(parts: int, words: int, hot_least: int):
     def run(batches):
+        hold("shingles", _forget)
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column("doc_id")
@@ -206,7 +211,6 @@ def _emit(parts: int, words: int, hot_least: int):
                     del straight, w, t, to, order
                 del who, tokens, part, low
             yield _rows(rows)
-        _hashes.clear()  # the worker goes on to other stages
 
     return run
 
@@ -233,6 +237,7 @@ def _shared(parts: int):
     """By shingle part: the occurrences of shingles that two sets hold, packed by set bucket; all else passes."""
 
     def run(key, table):
+        hold("sets")
         kind, part = key[0].as_py(), key[1].as_py()
         if kind != 0:
             return table.select(["kind", "key", "payload"])
@@ -439,6 +444,7 @@ def resolve(n: np.ndarray, sets: list[np.ndarray], labels: np.ndarray | None = N
 
 def _resolve_groups(table):
     """(sid, root) of the sets of all candidate groups in a bucket; column label, if any, has classes that are known."""
+    hold("sets")
     sids, n, data = table.column("sid").to_numpy(), table.column("n").to_numpy(), table.column("tokens").to_pylist()
     known = table.column("label").to_numpy() if "label" in table.column_names else None
     comp = table.column("comp").to_numpy()

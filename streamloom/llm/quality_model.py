@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, utf8
+from .common import cut, hold, utf8
 
 SAMPLE_ROWS = 20_000
 FEATURES = 384
@@ -73,6 +73,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
+        hold("quality")
         for b in batches:
             x = np.asarray([statistics(t) for t in utf8(b.column("text"))], "<f4").reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
@@ -215,6 +216,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def run(batches):
+        hold("quality")
         for b in batches:
             if isinstance(model, float):
                 keep = np.full(b.num_rows, model >= THRESHOLD)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import hold, utf8
 from .quality_model import fold, sampled_labels
 
 SAMPLE_ROWS, SAMPLE_WORDS = 6_000, 6_000_000
@@ -258,6 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", seed: int = 1
     sample = sampled_labels(labels, column, FOLDS, HELD_OUT, SAMPLE_ROWS, seed)
 
     def run(batches):
+        hold("toxicity")
         for b in batches:
             keys = []
             for t in utf8(b.column("text")):
@@ -329,6 +330,7 @@ def scored(docs: DataFrame, model: ToxicityModel | float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        hold("toxicity")
         m = shared.value
         for b in batches:
             s = np.full(b.num_rows, m) if isinstance(m, float) else m.score(utf8(b.column("text")))
@@ -347,6 +349,7 @@ def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches):
+        hold("toxicity")
         m = shared.value
         for b in batches:
             keep = np.full(b.num_rows, m < THRESHOLD) if isinstance(m, float) else m.score(utf8(b.column("text"))) < THRESHOLD
