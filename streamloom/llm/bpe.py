@@ -63,6 +63,14 @@ class Bpe:
         self.shorter = [-1] * len(self.token)
         self.reachable = bytearray(len(self.token))
         self._derive()
+        # Tokens that merges can make, by their bytes in Latin-1: each place's first choice, and pieces that are one token.
+        self.whole = {b.decode("latin-1"): i for b, i in ranks.items()}
+        for t in sorted(range(len(self.token)), key=self.size.__getitem__):
+            s = self.shorter[t]
+            if s >= 0 and not self.reachable[s]:
+                self.shorter[t] = self.shorter[s]
+        self.first = {s: i if self.reachable[i] else self.shorter[i] for s, i in self.whole.items()}.get
+        self.four = [struct.pack("<I", i) for i in range(len(self.token))]
         self.packed: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
@@ -125,52 +133,59 @@ class Bpe:
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        if not piece:
-            return []
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        n, s, path, ranks, most = len(piece), piece.decode("latin-1"), self.automaton.longest_prefix, self.ranks, self.longest
-        # The longest token from each place where one may begin.
-        longest: dict[int, int] = {n: -1}
-        known = longest.get
+        return self._encode(piece.decode("latin-1")) if piece else []
+
+    def _encode(self, s: str) -> list[int]:
+        """Ids of a piece that is not empty, given as its bytes in Latin-1."""
+        first = self.first
+        t = self.whole.get(s)
+        if t is not None:
+            return [t]
+        n, path, most, size, shorter, pairs = len(s), self.automaton.longest_prefix, self.longest, self.size, self.shorter, self.pairs.get
         failed = bytearray(n + 1)
-        size, shorter, reachable, pairs = self.size, self.shorter, self.reachable, self.pairs.get
         out: list[int] = []
-        at, t, before = 0, None, -1
+        at, before = 0, -1
         while at < n:
-            if t is None:
-                k = at + path(s[at : at + most])
-                while piece[at:k] not in ranks:
-                    k -= 1
-                t = longest[at] = ranks[piece[at:k]]
-            while t >= 0:
-                to = at + size[t]
-                if not failed[to] and reachable[t]:
-                    if before < 0:
-                        break
-                    fits = pairs(before << 32 | t)
-                    if fits is None:
-                        fits = self.compatible(before, t)
-                    if fits:
-                        break
-                t = shorter[t]
-            if t >= 0:
-                out.append(t)
-                before, at = t, to
-                t = known(at)
-            else:
+            # The longest token from here; a place is come to once, as it fails when it is left by stepping back.
+            part = s[at : at + most]
+            k = path(part)
+            t = first(part[:k])
+            while t is None:
+                k -= 1
+                t = first(part[:k])
+            while True:
+                while t >= 0:
+                    to = at + size[t]
+                    if not failed[to]:
+                        if before < 0:
+                            break
+                        fits = pairs(before << 32 | t)
+                        if fits is None:
+                            fits = self.compatible(before, t)
+                        if fits:
+                            break
+                    t = shorter[t]
+                if t >= 0:
+                    break
                 failed[at] = 1
                 t = out.pop()
                 before = out[-1] if out else -1
                 at -= size[t]
                 t = shorter[t]
+            out.append(t)
+            before, at = t, to
         return out
 
+    def _ids(self, piece: str) -> bytes:
+        ids = self._encode(piece if piece.isascii() else piece.encode("utf-8").decode("latin-1"))
+        return b"".join([self.four[i] for i in ids])
+
     def _pack(self, piece: str) -> bytes:
+        if self.at_spaces and piece[0] == " " and piece.isascii() and piece[1:].isalpha():
+            return self.chunks.get(piece[1:]) or self._chunk(piece[1:])
         known = self.packed.get(piece)
         if known is None:
-            ids = self.encode_piece(piece.encode("utf-8"))
-            known = struct.pack(f"<{len(ids)}I", *ids)
+            known = self._ids(piece)
             if len(piece) <= KEPT_CHARS:
                 if len(self.packed) >= PIECES_KEPT:
                     self.packed.clear()
@@ -178,8 +193,11 @@ class Bpe:
         return known
 
     def _chunk(self, chunk: str) -> bytes:
-        """Ids of a space and chunk, which starts with no white space."""
-        known = b"".join(map(self._pack, self.split(" " + chunk)))
+        """Ids of a space and chunk, which starts with no white space. ASCII letters alone are one piece."""
+        if chunk.isascii() and chunk.isalpha():
+            known = self._ids(" " + chunk)
+        else:
+            known = b"".join(map(self._pack, self.split(" " + chunk)))
         if len(chunk) <= KEPT_CHARS and "\n" not in chunk:
             if len(self.chunks) >= CHUNKS_KEPT:
                 self.chunks.clear()
