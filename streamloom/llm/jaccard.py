@@ -12,14 +12,14 @@ Two documents link when the Jaccard similarity of their sets of five-word shingl
 4. Within a group the join is exact, by set relations: index lists are read from the nearest size backwards, in blocks by the
    class that their sets have by then; blocks out of the size window or at hopeless positions are skipped, and
    once a set is found to be similar to another one its answer is derived from that one's: all sets of that class are
-   answered already and none of their list entries is looked at again. So a group of near copies costs about one
-   comparison a set, and not its square.
+   answered already and none of their list entries is looked at again. Index lists of frequent shingles are bit columns:
+   the sets in them that are not answered are bounded all at once, and only those that may link are compared.
 5. A group over GROUP_SETS sets is dealt out in chunks: each is resolved by itself, then one leader per class, then only
    the sets outside a group's main class are compared with every chunk. No pair of classes goes unchecked.
-6. With links=True each document's links are counted: overlaps of all sets of a class are added up from its index lists.
+6. With links=True each document's links are counted: overlaps of all sets of a class are added up from its bit columns and index lists.
    Classes over LINK_SETS sets or LINK_BYTES are dealt out by pairs of chunks. This takes the square of a class's sets.
 
-Scale: shingles move as packed arrays, about 8 bytes each, in one shuffle, to parts of PART_BYTES of input; from MANY_PARTS parts on
+Scale: shingles move as packed arrays, 8 bytes each in few parts and up to 15 in many, in one shuffle, to parts of PART_BYTES of input; from MANY_PARTS parts on
 of up to LARGE_PART_BYTES, so a part has a bound at any size of the input. A shingle that HOT_LEAST different sets of a batch
 hold is marked there as shared, for certain, and its occurrences skip the shuffle by shingle; of others a batch brings
 fewer. Entries of one index list with equal sizes are chained within a batch and one goes on. Copies of one set are
@@ -49,6 +49,8 @@ HOT_LEAST = 16
 GROUP_SETS = 50_000
 GROUP_BYTES = 64 << 20
 LINK_SETS, LINK_BYTES = 2_000, 16 << 20
+#: Shingles that so many sets of a group and this part of them hold are bit columns, which then take no more than the sets.
+FREQUENT_LEAST, FREQUENT_SHARE = 16, 64
 HOT = 1 << 31
 MEMO = 250_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -146,8 +148,8 @@ def unpack(data: bytes, kinds: str) -> list[np.ndarray]:
     return out
 
 
-#: sids, sizes, tokens of each, tokens' low 32 and next 16 bits; sid, size, token, frequency; doc_id, is null, sid, size
-PART, OCCURRENCE, DOC = "i8 u4 u2 u4 u2", "i8 u4 u8 u4", "i8 u1 i8 u4"
+#: sids, tokens of each, tokens' low 32 and next 16 bits; sid, token, frequency; sid, size; doc_id, is null, sid, size
+PART, OCCURRENCE, SIZE, DOC = "i8 u1 u4 u2", "i8 u8 u4", "i8 u4", "i8 u1 i8 u4"
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -181,6 +183,11 @@ def _emit(parts: int, words: int, hot_least: int):
                     s = deal == k
                     rows.append((2, int((k + offset) % parts), pack(doc[s], null[s].astype("u1"), sids[s], sizes[s])))
             if kept:
+                # A set's size goes once to its bucket and not with its shingles, of which a part has few.
+                own = np.asarray([i for i, _ in kept])
+                to = (sids[own].astype(np.uint64) % np.uint64(parts)).astype(np.int32)
+                own, to = own[order := np.argsort(to, kind="stable")], to[order]
+                rows += [(5, int(to[a]), pack(sids[own[a:b]], sizes[own[a:b]])) for a, b in _segments(to)]
                 who = np.repeat(np.asarray([i for i, _ in kept]), [len(t) for _, t in kept])
                 tokens = np.concatenate([t for _, t in kept])
                 part = part_of(tokens, parts)
@@ -201,13 +208,13 @@ def _emit(parts: int, words: int, hot_least: int):
                             w, t = w[~h], t[~h]
                     if len(w):
                         own, n = _runs(w)
-                        rows.append((0, p, pack(sids[own], sizes[own], n.astype("<u2"), (t & np.uint64(0xFFFFFFFF)).astype("<u4"), (t >> np.uint64(32)).astype("<u2"))))
+                        rows.append((0, p, pack(sids[own], n.astype("u1"), (t & np.uint64(0xFFFFFFFF)).astype("<u4"), (t >> np.uint64(32)).astype("<u2"))))
                 if straight:
                     w, t = (np.concatenate(x) for x in zip(*straight, strict=True))
                     to = (sids[w].astype(np.uint64) % np.uint64(parts)).astype(np.int32)
                     order = np.argsort(to, kind="stable")
                     w, t, to = w[order], t[order], to[order]
-                    rows += [(1, int(to[a]), pack(sids[w[a:b]], sizes[w[a:b]], t[a:b], np.full(b - a, HOT, "<u4"))) for a, b in _segments(to)]
+                    rows += [(1, int(to[a]), pack(sids[w[a:b]], t[a:b], np.full(b - a, HOT, "<u4"))) for a, b in _segments(to)]
                     del straight, w, t, to, order
                 del who, tokens, part, low
             yield _rows(rows)
@@ -224,11 +231,11 @@ def _segments(x: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values and lengths of runs; runs over 65535 are cut."""
+    """Values and lengths of runs; runs over 255 are cut."""
     at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
     n = np.diff(np.concatenate([at, [len(x)]]))
-    if n.max(initial=0) > 65535:
-        cutpoints = np.unique(np.concatenate([at, *[np.arange(a, a + m, 65535) for a, m in zip(at, n, strict=True) if m > 65535]]))
+    if n.max(initial=0) > 255:
+        cutpoints = np.unique(np.concatenate([at, *[np.arange(a, a + m, 255) for a, m in zip(at, n, strict=True) if m > 255]]))
         at, n = cutpoints, np.diff(np.concatenate([cutpoints, [len(x)]]))
     return x[at], n
 
@@ -241,19 +248,18 @@ def _shared(parts: int):
         kind, part = key[0].as_py(), key[1].as_py()
         if kind != 0:
             return table.select(["kind", "key", "payload"])
-        sids, sizes, tokens, marked = [], [], [], []
+        sids, tokens, marked = [], [], []
         for k, payload in zip(table.column("sub").to_pylist(), table.column("payload").to_pylist(), strict=True):
             if k == 3:
                 marked.append(np.frombuffer(payload, "<u8"))
                 continue
-            s, n, runs, lo, hi = unpack(payload, PART)
+            s, runs, lo, hi = unpack(payload, PART)
             sids.append(np.repeat(s, runs))
-            sizes.append(np.repeat(n, runs))
             tokens.append(lo.astype("<u8") | hi.astype("<u8") << np.uint64(32))
         if not sids:
             return pa.Table.from_batches([_rows([])])
-        sid, size, token = np.concatenate(sids), np.concatenate(sizes), np.concatenate(tokens)
-        del sids, sizes, tokens
+        sid, token = np.concatenate(sids), np.concatenate(tokens)
+        del sids, tokens
         hot = np.unique(np.concatenate(marked)) if marked else np.empty(0, "<u8")
         order = np.argsort(token, kind="stable")
         token = token[order]
@@ -263,24 +269,24 @@ def _shared(parts: int):
             at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
             several |= hot[at] == token
         token, order = token[several], order[several]
-        sid, size = sid[order], size[order]
+        sid = sid[order]
         order = np.lexsort((sid, token))
-        token, sid, size = token[order], sid[order], size[order]
+        token, sid = token[order], sid[order]
         if not len(token):
             return pa.Table.from_batches([_rows([])])
         first = np.concatenate([[True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])])  # the same set of another batch
-        token, sid, size = token[first], sid[first], size[first]
+        token, sid = token[first], sid[first]
         _, inverse, counts = np.unique(token, return_inverse=True, return_counts=True)
         df = counts[inverse].astype("<u4")
         if len(hot):
             at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
             df[hot[at] == token] = HOT
         keep = df > 1
-        token, sid, size, df = whole(token[keep], part, parts), sid[keep], size[keep], df[keep]
+        token, sid, df = whole(token[keep], part, parts), sid[keep], df[keep]
         to = (sid.astype(np.uint64) % np.uint64(parts)).astype(np.int32)
         order = np.argsort(to, kind="stable")
-        token, sid, size, df, to = token[order], sid[order], size[order], df[order], to[order]
-        rows = [(1, int(to[a]), pack(sid[a:b], size[a:b], token[a:b], df[a:b])) for a, b in _segments(to)]
+        token, sid, df, to = token[order], sid[order], df[order], to[order]
+        rows = [(1, int(to[a]), pack(sid[a:b], token[a:b], df[a:b])) for a, b in _segments(to)]
         return pa.Table.from_batches([_rows(rows)])
 
     return run
@@ -292,21 +298,28 @@ _BASE = pa.schema([("is_doc", pa.bool_()), ("doc_id", pa.int64()), ("sid", pa.in
 
 def _gather(table):
     """By set bucket: sets with enough shared shingles, rare ones first; and the rows of documents."""
-    docs, found = [], []
+    docs, found, sized = [], [], []
     for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True):
         if kind == 2:
             doc, null, sid, n = unpack(payload, DOC)
             docs.append(pa.RecordBatch.from_arrays([pa.array(np.ones(len(doc), bool)), pa.array(doc, mask=null.astype(bool)), pa.array(sid), pa.array(n.astype("i4")), pa.nulls(len(doc), pa.binary())], schema=_BASE))
+        elif kind == 5:
+            sized.append(unpack(payload, SIZE))
         else:
             found.append(unpack(payload, OCCURRENCE))
     if found:
-        sid, n, token, df = (np.concatenate(x) for x in zip(*found, strict=True))
+        sid, token, df = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((token, df, sid))
-        sid, n, token, df = sid[order], n[order], token[order], df[order]
+        sid, token, df = sid[order], token[order], df[order]
         # A set that several map tasks hold has its hot shingles several times.
         again = np.concatenate([[False], (sid[1:] == sid[:-1]) & (token[1:] == token[:-1])])
-        sid, n, token = sid[~again], n[~again], token[~again]
-        rows = [(int(sid[a]), int(n[a]), token[a:b].tobytes()) for a, b in _segments(sid) if b - a >= least_overlap(int(n[a]))]
+        sid, token = sid[~again], token[~again]
+        of, n = (np.concatenate(x) for x in zip(*sized, strict=True))
+        of, first = np.unique(of, return_index=True)
+        n = n[first]
+        segments = _segments(sid)
+        sizes = n[np.searchsorted(of, sid[[a for a, _ in segments]])].tolist()
+        rows = [(int(sid[a]), m, token[a:b].tobytes()) for (a, b), m in zip(segments, sizes, strict=True) if b - a >= least_overlap(m)]
         if rows:
             s, m, t = zip(*rows, strict=True)
             docs.append(pa.RecordBatch.from_arrays([pa.array([False] * len(s)), pa.nulls(len(s), pa.int64()), pa.array(s, pa.int64()), pa.array(m, pa.int32()), pa.array(t, pa.binary())], schema=_BASE))
@@ -381,13 +394,37 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else e.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
+def _bits(rows: list[np.ndarray], places: int) -> np.ndarray:
+    """Bit columns: [w, x] has the places 64w to 64w + 63 of row x."""
+    out = np.zeros((-(-places // 64), len(rows)), "<u8")
+    for x, row in enumerate(rows):
+        if len(row):
+            flags = np.zeros(64 * len(out), bool)
+            flags[row] = True
+            out[:, x] = np.packbits(flags, bitorder="little").view("<u8")
+    return out
+
+
+def _common(bits: np.ndarray, x: int, low: int = 0, high: int | None = None) -> np.ndarray:
+    """How many places row x has in common with each of the rows from low to high."""
+    out = np.zeros(len(bits[0, low:high]) if len(bits) else (bits.shape[1] if high is None else high) - low, "i8")
+    for w in np.flatnonzero(bits[:, x]).tolist():
+        out += np.bitwise_count(bits[w, low:high] & bits[w, x])
+    return out
+
+
 def resolve(n: np.ndarray, sets: list[np.ndarray], labels: np.ndarray | None = None) -> np.ndarray:
     """Class of each set, as the position of one of its members, by links of similarity NUM / DEN or more.
 
     n: the full sizes; sets: the shingles that may be shared. Sets with equal labels are in one class from the start.
+    Index lists of frequent shingles are bit columns: all sets that have one in their prefix are bounded at once by their common bits.
     """
     count = len(sets)
-    parent = np.arange(count).tolist()
+    if count < 2:
+        return np.arange(count)
+    order = np.lexsort((np.arange(count), n))  # from here on sets are told by their place in it
+    size_of = n[order].astype(np.int64)
+    size, parent, classes = size_of.tolist(), np.arange(count).tolist(), np.arange(count)
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -395,26 +432,35 @@ def resolve(n: np.ndarray, sets: list[np.ndarray], labels: np.ndarray | None = N
             i = parent[i]
         return i
 
+    def join(i: int, j: int) -> None:
+        i, j = find(i), find(j)
+        if i != j:
+            parent[i] = j
+            classes[classes == i] = j
+
     if labels is not None:
-        first: dict[int, int] = {}
-        for i, label in enumerate(labels.tolist()):
-            parent[find(i)] = find(first.setdefault(label, i))
-    if count < 2:
-        return np.arange(count)
-    values, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        _, first, which = np.unique(labels[order], return_index=True, return_inverse=True)
+        classes = first[which.ravel()]
+        parent = classes.tolist()
+    values, inverse, df = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
     rank = np.empty(len(values), np.int64)
     rank[np.lexsort((values, df))] = np.arange(len(values))
     lone = int((df == 1).sum())  # ranks below are in one set only
-    ends = np.cumsum([len(s) for s in sets])
+    frequent = max(lone, len(values) - int((df >= max(FREQUENT_LEAST, count // FREQUENT_SHARE)).sum()))  # ranks from here on are bits
+    ends = np.cumsum([len(sets[i]) for i in order])
     ranked = [np.sort(r[r >= lone]) for r in np.split(rank[inverse], ends[:-1])]
-    size = n.astype(np.int64).tolist()
+    lengths = np.asarray([len(r) for r in ranked])
+    rare = [r[: np.searchsorted(r, frequent)] for r in ranked]
+    rares = np.asarray([len(r) for r in rare])
+    bits = _bits([r[k:] - frequent for r, k in zip(ranked, rares.tolist(), strict=True)], len(values) - frequent)
+    spares = lengths - least_overlap(size_of)
+    in_bits = (spares >= rares) & (lengths > rares)  # a prefix reaches the frequent ones
     index: dict[int, dict[int, list[tuple[int, int]]]] = {}
-    for x in np.lexsort((np.arange(count), n)).tolist():
-        mine, nx = ranked[x], size[x]
-        spare = len(mine) - least_overlap(nx)
+    for x in range(count):
+        mine, nx, spare = ranked[x], size[x], int(spares[x])
         if spare < 0:
             continue
-        prefix = mine[: spare + 1].tolist()
+        prefix = rare[x][: spare + 1].tolist()
         smallest, seen, rest = -(-NUM * nx // DEN), set(), len(mine)
         for px, token in enumerate(prefix):
             blocks = index.get(token)
@@ -429,17 +475,35 @@ def resolve(n: np.ndarray, sets: list[np.ndarray], labels: np.ndarray | None = N
                         break  # the lists ascend by size
                     if y in seen:
                         continue
+                    seen.add(y)  # this is the first shingle that both have, so all they share is from here on
                     least = least_overlap(nx, ny)
-                    if min(px, py) + min(rest - px, len(ranked[y]) - py) < least:
+                    if min(rest - px, len(ranked[y]) - py) < least:
                         continue
-                    seen.add(y)
                     if len(np.intersect1d(mine, ranked[y], assume_unique=True)) >= least:
-                        parent[find(x)] = find(y)
+                        join(x, y)
                         break
+        if in_bits[x]:
+            low = int(np.searchsorted(size_of[:x], smallest))
+            least = least_overlap(nx, size_of[low:x])
+            common = _common(bits, x, low, x)
+            may = in_bits[low:x] & (common + np.minimum(rares[low:x], rares[x]) >= least) & (classes[low:x] != classes[x])
+            near, at_once = np.flatnonzero(may)[::-1], 4
+            while len(near):
+                ys, near = near[:at_once], near[at_once:]
+                at_once *= 4
+                held = np.isin(np.concatenate([rare[low + y] for y in ys]), rare[x])
+                shared = common[ys] + np.bincount(np.repeat(np.arange(len(ys)), rares[low + ys]), held, len(ys)).astype("i8")
+                linked = ys[shared >= least[ys]]
+                for y in linked.tolist():
+                    join(x, low + y)
+                if len(linked):
+                    near = near[classes[low + near] != classes[x]]
         root = find(x)
         for px, token in enumerate(prefix):
             index.setdefault(token, {}).setdefault(root, []).append((x, px))
-    return np.asarray([find(i) for i in range(count)])
+    out = np.empty(count, np.int64)
+    out[order] = order[[find(i) for i in range(count)]]
+    return out
 
 
 def _resolve_groups(table):
@@ -514,12 +578,17 @@ def _count_links(table):
         sets = [np.frombuffer(data[i], "<u8") for i in who]
         lengths = np.asarray([len(x) for x in sets])
         inverse = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
-        holders = np.repeat(np.arange(len(who)), lengths)[np.argsort(inverse, kind="stable")]
         df = np.bincount(inverse)
+        frequent = df >= max(FREQUENT_LEAST, len(who) // FREQUENT_SHARE)
+        place = np.cumsum(frequent) - 1
+        tokens = np.split(inverse, np.cumsum(lengths)[:-1])
+        bits = _bits([place[t[frequent[t]]] for t in tokens], int(frequent.sum()))
+        holders = np.repeat(np.arange(len(who)), lengths)[np.argsort(inverse, kind="stable")]
         begins = np.concatenate([[0], np.cumsum(df)])
         links = np.zeros(len(who), "i8")
-        for x, mine in enumerate(np.split(inverse, np.cumsum(lengths)[:-1])):
-            overlap = np.zeros(len(who), "i8")
+        for x, mine in enumerate(tokens):
+            overlap = _common(bits, x)
+            mine = mine[~frequent[mine] & (df[mine] > 1)]
             for part in np.array_split(mine, 1 + int(df[mine].sum()) // 4_000_000):
                 if len(part):
                     overlap += np.bincount(np.concatenate([holders[begins[t] : begins[t + 1]] for t in part.tolist()]), minlength=len(who))

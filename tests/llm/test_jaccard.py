@@ -133,3 +133,66 @@ def test_a_shingle_in_many_sets_and_parts(spark, monkeypatch):
     assert got(documents(spark, rows).repartition(5), hot_least=2) == brute(rows)
     monkeypatch.setattr(jaccard, "MANY_PARTS", 1 << 17)
     assert got(documents(spark, rows).repartition(2)) == brute(rows)
+
+
+def _copies_of_one(seed, count):
+    """Copies of one text with so many places changed that some link with few others or none."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    base, sets = rng.integers(0, 2**63, 300, dtype=np.uint64), []
+    for _ in range(count):
+        keep = np.ones(300, bool)
+        for place in rng.choice(300, rng.integers(0, 13), replace=False):
+            keep[max(0, place - 4) : place + 1] = False
+        sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 2**10, 300 - keep.sum(), dtype=np.uint64)])))
+    return np.asarray([len(s) for s in sets]), sets
+
+
+def test_a_large_group_of_near_copies(monkeypatch):
+    """Exact with frequent shingles as bits, and without a Python step for most pairs of sets that do not link."""
+    import numpy as np
+
+    n, sets = _copies_of_one(2, 700)
+    tokens = np.unique(np.concatenate(sets))
+    member = np.stack([np.isin(tokens, s) for s in sets]).astype(np.float32)
+    common = (member @ member.T).astype(int)
+    linked = 100 * common >= 75 * (n[:, None] + n[None] - common)
+    want = np.arange(700)
+    while True:
+        least = np.where(linked, want[None], 700).min(1)
+        if (least == want).all():
+            break
+        want = least
+    steps, plain = [0], jaccard.least_overlap
+    monkeypatch.setattr(jaccard, "least_overlap", lambda *a: steps.__setitem__(0, steps[0] + 1) or plain(*a))
+    for labels in (None, want // 2):
+        steps[0] = 0
+        roots = jaccard.resolve(n, sets, labels)
+        assert steps[0] < 60 * 700
+        if labels is None:
+            assert len(np.unique(want)) > 20 and len(np.unique(np.stack([roots, want]), axis=1).T) == len(np.unique(want)) == len(np.unique(roots))
+
+
+def test_links_of_a_large_class_are_exact():
+    import numpy as np
+    import pyarrow as pa
+
+    n, sets = _copies_of_one(4, 300)
+    common = np.asarray([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    linked = 100 * common >= 75 * (n[:, None] + n[None] - common)
+    copies = np.arange(300) % 3 + 1
+    whole = {"root": np.zeros(300, "i8"), "low": np.zeros(300, "i8"), "high": np.zeros(300, "i8"), "chunk": np.zeros(300, "i8"), "sid": np.arange(300), "n": n, "copies": copies, "tokens": [s.tobytes() for s in sets]}
+    found = jaccard._count_links(pa.table(whole))
+    np.fill_diagonal(linked, False)
+    assert found["links"].to_pylist() == (linked @ copies)[found["sid"].to_numpy()].tolist()
+
+
+def test_a_shingle_alone_in_its_part_moves_in_15_bytes():
+    """At many parts a set has a shingle or none in a part; its size does not go with each."""
+    import pyarrow as pa
+
+    batch = pa.record_batch({"doc_id": [1, 2], "text": [" ".join(f"{d}{i}" for i in range(400)) for d in "ab"]})
+    rows = [r for out in jaccard._emit(1 << 15, 5, 16)([batch]) for r in out.to_pylist()]
+    parts = [r["payload"] for r in rows if r["kind"] == 0]
+    assert sum(map(len, parts)) <= len(parts) * 16 + 15 * 2 * 396
