@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..materialise import checkpoint_dir, cut, remove
 
-__all__ = ["GAP", "WORD", "checkpoint_dir", "cut", "fresh", "hold", "known_size", "n_words", "remove", "scan_parts", "table", "utf8", "words"]
+__all__ = ["GAP", "WORD", "checkpoint_dir", "cut", "fresh", "give_back", "hold", "known_size", "n_words", "remove", "scan_parts", "table", "utf8", "words"]
 
 #: A word is a maximal run without ASCII white space (fixed value of the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +44,15 @@ def n_words(text: Column) -> Column:
     return F.when(t.rlike(r"[^\x20\x09-\x0D]"), pieces).otherwise(F.lit(0)).cast("long")
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 _holder: list = [None, None]
 
 
@@ -57,11 +66,7 @@ def hold(step: str, drop=None) -> None:
         if _holder[1]:
             _holder[1]()
         _holder[:] = step, drop
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
 
 
 def utf8(column: pa.Array) -> list[bytes]:

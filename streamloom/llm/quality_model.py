@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hold, utf8
+from .common import cut, give_back, hold, utf8
 
 SAMPLE_ROWS = 20_000
 FEATURES = 384
@@ -212,6 +212,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rejected ones, all columns kept; statistics are computed where the text is, so nothing is joined."""
     stats = cut(with_statistics(docs))
     model = fit(stats, labels)
+    give_back()
     columns = docs.columns
     schema = docs.schema
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, utf8
+from .common import give_back, hold, utf8
 from .quality_model import fold, sampled_labels
 
 SAMPLE_ROWS, SAMPLE_WORDS = 6_000, 6_000_000
@@ -253,6 +253,21 @@ class ToxicityModel:
         return best @ self.net.out + self.net.out_bias - self.cuts[told(hits)]
 
 
+def together(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all texts, and each word's place in them; empties `held`, as all this is the driver's memory."""
+    packed = np.empty(sum(map(len, held)) // 2, np.uint64)
+    at = len(packed)
+    while held:
+        pairs = held.pop().reshape(-1, 2)
+        packed[at - len(pairs) : at] = pairs[:, 0].astype(np.uint64) << np.uint64(32) | pairs[:, 1]
+        at -= len(pairs)
+    distinct = np.unique(packed)
+    ids = np.empty(len(packed), np.int32)
+    for a in range(0, len(packed), 1 << 18):
+        ids[a : a + (1 << 18)] = np.searchsorted(distinct, packed[a : a + (1 << 18)])
+    return np.stack([distinct >> np.uint64(32), distinct & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32), ids
+
+
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", seed: int = 13) -> ToxicityModel | float:
     """Trains on three quarters of the sample and sets the thresholds on the rest."""
     sample = sampled_labels(labels, column, FOLDS, HELD_OUT, SAMPLE_ROWS, seed)
@@ -283,13 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", seed: int = 1
     y, ends = np.asarray(y, np.int64), np.asarray(ends, np.int64)
     if y.min() == y.max():
         return float(y[0])
-    flat = np.concatenate(held).reshape(-1, 2)
-    del held  # before the sort below takes its own copies
-    packed = flat[:, 0].astype(np.uint64) << np.uint64(32) | flat[:, 1]
-    distinct, ids = np.unique(packed, return_inverse=True)
-    del packed, flat
-    keys = np.stack([distinct >> np.uint64(32), distinct & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
-    ids = ids.astype(np.int32)
+    keys, ids = together(held)
     begins = np.concatenate([[0], ends[:-1]])
     calibrate = np.asarray([zlib.crc32(f"{seed}:{d}".encode()) % CALIBRATE == 0 for d in doc])
     if len({*y[calibrate].tolist()}) < 2 or len({*y[~calibrate].tolist()}) < 2:
@@ -347,7 +356,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that are predicted toxic, all columns kept."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-
+    give_back()  # else the driver keeps the fit's memory over the stages after
     def run(batches):
         hold("toxicity")
         m = shared.value

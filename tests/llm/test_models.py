@@ -153,3 +153,22 @@ def test_repeated_and_text_ids(spark):
 
     named = documents(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
     assert toxicity.classify(named, l.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))).count() == 200
+
+
+def test_sample_of_words_in_little_memory():
+    """The driver numbers the sample's words in about three times their bytes."""
+    import tracemalloc
+
+    import numpy as np
+
+    from streamloom.llm import toxicity
+
+    rng = np.random.default_rng(3)
+    held = [rng.integers(0, 300, (n, 2), dtype=np.uint32).ravel() for n in (0, 5, 900_000, 1, 600_000)]
+    flat = np.concatenate(held).reshape(-1, 2)
+    tracemalloc.start()
+    keys, ids = toxicity.together(held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (keys[ids] == flat).all() and len(np.unique(keys, axis=0)) == len(keys) and not held
+    assert peak < 3 * flat.nbytes
